@@ -5,11 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.hierarchy import hierarchy
+
+    return hierarchy(table(spark, sf_dir, "hn_items")).select("id", "root_id")
+
+
+def p6_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.hierarchy import hierarchy
+
+    return hierarchy(table(spark, sf_dir, "hn_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.skew import heavy_keys
+
+    return heavy_keys(table(spark, sf_dir, "lshp_points"), 0.025).select("bucket_key")
+
+
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.skew import bucket_totals
+
+    return bucket_totals(table(spark, sf_dir, "lshp_points")).withColumn("total_weight", F.round("total_weight", 6))
+
+
+PROBLEMS = {"p6_found": p6_found, "p6_tree": p6_tree, "p7_found": p7_found, "p7_totals": p7_totals}
+
+PROBLEM_SQL = {
+    "p7_found": """
+        WITH c AS (SELECT regexp_replace(bucket_key, '\\s+', '', 'g') AS bucket_key, point_id FROM lshp_points
+                   WHERE bucket_key IS NOT NULL AND point_id IS NOT NULL)
+        SELECT bucket_key FROM c GROUP BY bucket_key
+        HAVING count(DISTINCT point_id) >= 0.025 * (SELECT count(DISTINCT point_id) FROM c)""",
+    "p7_totals": """
+        WITH c AS (SELECT regexp_replace(bucket_key, '\\s+', '', 'g') AS bucket_key, point_id,
+                          max(CASE WHEN weight > 0 AND NOT isnan(weight) THEN weight END) AS w
+                   FROM lshp_points WHERE bucket_key IS NOT NULL AND point_id IS NOT NULL GROUP BY ALL)
+        SELECT bucket_key, count(*) AS bucket_size, round(sum(w), 6) AS total_weight, count(w) AS weighted FROM c GROUP BY bucket_key""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(PROBLEMS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(PROBLEM_SQL)
