@@ -18,6 +18,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_by_group(_table(spark, sf_dir, "knn_candidates"), 5, at_least=0.0).select("index_test", "index_train")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.vectors import nearest_vectors
+
+    return nearest_vectors(_table(spark, sf_dir, "knn_test"), _table(spark, sf_dir, "knn_train"), 10, dim=32).select("index_test", "index_train")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.links import consolidate
 
@@ -26,7 +32,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
 
 
 SQL = {
