@@ -24,6 +24,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(_table(spark, sf_dir, "knn_test"), _table(spark, sf_dir, "knn_train"), 10, dim=32).select("index_test", "index_train")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.clusters import similarity_clusters
+
+    found = similarity_clusters(_table(spark, sf_dir, "hiclust_points"), dim=8, radius=0.5)
+    return found.where("cluster_size > 1").select("index_train", "cluster_min")
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.clusters import describe_clusters, similarity_clusters
+
+    return describe_clusters(similarity_clusters(_table(spark, sf_dir, "hiclust_points"), dim=8, radius=0.5))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.links import consolidate
 
@@ -32,7 +45,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
 
 
 SQL = {
