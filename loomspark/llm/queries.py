@@ -44,8 +44,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(pairs)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.leakage import leaked_items
+
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p9_found": p9_found}
 
 
 SQL = {
