@@ -50,8 +50,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.residue import residue
+
+    return residue(_table(spark, sf_dir, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 SQL = {
