@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+DIM = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# list problems of the core
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.operators.hierarchy import hierarchy
 
@@ -36,25 +41,404 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_totals(table(spark, sf_dir, "lshp_points")).withColumn("total_weight", F.round("total_weight", 6))
 
 
-PROBLEMS = {"p6_found": p6_found, "p6_tree": p6_tree, "p7_found": p7_found, "p7_totals": p7_totals}
+# nearest neighbours
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(DIM)), "label")
+
+
+def _knn(metric: str, weighted: bool, regress: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from loomspark.operators.knn import KNN
+
+        rows = _vectors(spark, sf_dir).withColumnRenamed("label", "y")
+        if regress:
+            rows = rows.withColumn("y", F.col("y").cast("double"))
+        train = rows.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "index_train")
+        test = rows.where("vec_id % 20 = 0").drop("y").withColumnRenamed("vec_id", "index_test")
+        out = KNN(train).fit().predict(test, n_neighbors=10, metric=metric, weighted=weighted)
+        return out.withColumn("y", F.round("y", 6)) if regress else out.withColumn("metric", F.round("metric", 6)) if weighted else out
+
+    return query
 
-PROBLEM_SQL = {
-    "p7_found": """
-        WITH c AS (SELECT regexp_replace(bucket_key, '\\s+', '', 'g') AS bucket_key, point_id FROM lshp_points
-                   WHERE bucket_key IS NOT NULL AND point_id IS NOT NULL)
-        SELECT bucket_key FROM c GROUP BY bucket_key
-        HAVING count(DISTINCT point_id) >= 0.025 * (SELECT count(DISTINCT point_id) FROM c)""",
-    "p7_totals": """
-        WITH c AS (SELECT regexp_replace(bucket_key, '\\s+', '', 'g') AS bucket_key, point_id,
-                          max(CASE WHEN weight > 0 AND NOT isnan(weight) THEN weight END) AS w
-                   FROM lshp_points WHERE bucket_key IS NOT NULL AND point_id IS NOT NULL GROUP BY ALL)
-        SELECT bucket_key, count(*) AS bucket_size, round(sum(w), 6) AS total_weight, count(w) AS weighted FROM c GROUP BY bucket_key""",
+
+_DISTANCES = {
+    "euclidean": "sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))",
+    "manhattan": "list_sum(list_transform(list_zip(a.e, b.e), lambda p: abs(p[1] - p[2])))",
+    "cosine": "1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))",
 }
 
 
+def _knn_sql(metric: str, weighted: bool, regress: bool) -> str:
+    w = "CASE WHEN d = 0 THEN 1.0 ELSE 1 / (d * d) END" if weighted else "1.0"
+    near = f"""
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+        d AS (SELECT a.vec_id AS index_test, b.label AS y, {_DISTANCES[metric]} AS d
+              FROM v a, v b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0),
+        n AS (SELECT *, {w} AS w FROM d QUALIFY rank() OVER (PARTITION BY index_test ORDER BY round(d, 9)) <= 10)"""
+    if regress:
+        return near + " SELECT index_test, round(sum(y * w) / sum(w), 6) AS y FROM n GROUP BY index_test"
+    votes = "round(sum(w), 6)" if weighted else "count(*)"
+    return near + f"""
+        SELECT index_test, y, metric FROM (
+            SELECT index_test, y, {votes} AS metric,
+                   row_number() OVER (PARTITION BY index_test ORDER BY round(sum(w), 9) DESC, y) AS r FROM n GROUP BY index_test, y)
+        WHERE r = 1"""
+
+
+# similarity, clustering and their quality
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.similarity import SimilarityMatrix
+
+    return SimilarityMatrix.of_arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").create_sim_matrix("euclidean", most=1.2)
+
+
+def sim_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs up to 1.2 apart (about one in a hundred)."""
+    return _matrix(spark, sf_dir).withColumn("distance", F.round("distance", 6))
+
+
+def degree_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.similarity import degree_normalized
+
+    return degree_normalized(_matrix(spark, sf_dir), "vec_id", 0.3).withColumn("distance", F.round("distance", 6))
+
+
+_PAIRS = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+    m AS (SELECT a.vec_id AS "vec_id_A", b.vec_id AS "vec_id_B", {_DISTANCES["euclidean"]} AS distance, a.label AS la, b.label AS lb
+          FROM v a, v b WHERE a.vec_id < b.vec_id),
+    k AS (SELECT * FROM m WHERE distance <= 1.2)"""
+
+
+def cluster_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.cluster import HiClust
+
+    rows = _vectors(spark, sf_dir).drop("label").withColumnRenamed("vec_id", "index_train")
+    return HiClust(rows).fit(distance_threshold=1.1, max_iterations=1).get_clusters()
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _vectors(spark, sf_dir).withColumnRenamed("label", "cluster")
+    return rows, rows.groupBy("cluster").agg(*(F.avg(f"x{k}").alias(f"x{k}") for k in range(DIM)))
+
+
+def cluster_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.quality import Indices
+
+    rows, centroids = _labelled(spark, sf_dir)
+    s = Indices([f"x{k}" for k in range(DIM)]).squares(rows, centroids)
+    return s.select("cluster", "n", F.round("wss", 6).alias("wss"), F.round("bss", 6).alias("bss"))
+
+
+def cluster_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.quality import Indices
+
+    rows, centroids = _labelled(spark, sf_dir)
+    got = Indices([f"x{k}" for k in range(DIM)]).compute_indices(rows, centroids)
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in got.items()], "name string, value double")
+
+
+def _modularity(form: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from loomspark.operators.community import modularity_frame
+
+        labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+        return modularity_frame(_matrix(spark, sf_dir), labels, a="vec_id_A", b="vec_id_B", item="vec_id", community="label", form=form).select(F.round("modularity", 8).alias("modularity"))
+
+    return query
+
+
+_MODULARITY = f"""WITH {_PAIRS},
+    w AS (SELECT "vec_id_A" AS a, "vec_id_B" AS b, la, lb, 1 / (1 + distance) AS w FROM k),
+    s AS (SELECT x, any_value(l) AS l, sum(w) AS k FROM (SELECT a AS x, la AS l, w FROM w UNION ALL SELECT b, lb, w FROM w) GROUP BY x),
+    t AS (SELECT 2 * sum(w) AS m2, 2 * sum(CASE WHEN la = lb THEN w ELSE 0 END) AS inside FROM w),"""
+
+
+# normalisation
+
+
+def _normalize(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from loomspark.operators.normalize import Normalizer
+
+        rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+        out = Normalizer(method, ["l_quantity", "l_extendedprice"]).fit_transform(rows)
+        return out.withColumns({c: F.round(c, 6) for c in ("l_quantity", "l_extendedprice")})
+
+    return query
+
+
+def _normalize_sql(method: str) -> str:
+    form = {
+        "minmax": "({c} - (SELECT min({c}) FROM lineitem)) / (SELECT max({c}) - min({c}) FROM lineitem)",
+        "zscore": "({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_samp({c}) FROM lineitem)",
+        "range": "({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT max({c}) - min({c}) FROM lineitem)",
+    }[method]
+    cols = ", ".join(f"round({form.format(c=c)}, 6) AS {c}" for c in ("l_quantity", "l_extendedprice"))
+    return f"SELECT l_orderkey, l_linenumber, {cols} FROM lineitem"
+
+
+# locality-sensitive hashing
+
+
+def _sampler():
+    from loomspark.functions.lsh import LSHSampler
+
+    return LSHSampler([f"x{k}" for k in range(DIM)], num_hashes=2, bin_widths=[0.5, 1.0, 2.0], random_proj=True, seed=42)
+
+
+def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampler().transform(_vectors(spark, sf_dir)).select("vec_id", "bins_0", "bins_1", "bins_2")
+
+
+def lsh_bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampler().compute_bucket_sizes(_vectors(spark, sf_dir))
+
+
+def lsh_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _sampler().add_density_weights(_vectors(spark, sf_dir), bin_width_idx=1)
+    return out.select("vec_id", "bucket_key", "bucket_size", F.round("weight", 6).alias("weight"))
+
+
+def lsh_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampler().sample(_vectors(spark, sf_dir), 200).select("vec_id", "bins_0")
+
+
+def lsh_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.functions.lsh import bucket_crosstab
+
+    return bucket_crosstab(lsh_buckets(spark, sf_dir)).select("vec_id", "narrow_count")
+
+
+def _bins_sql() -> str:
+    s = _sampler()
+    dots = ", ".join(f"list_dot_product(embedding::DOUBLE[], {[float(x) for x in p]}::DOUBLE[])" for p in s.projections)
+    cols = ", ".join(f"list_transform([{dots}], lambda d: floor(d / {w})::INTEGER) AS bins_{k}" for k, w in enumerate(s.bin_widths))
+    return f"b AS (SELECT vec_id, {cols} FROM embeddings)"
+
+
+# graphs: customers, their orders' line items and the suppliers that deliver
+
+
+def _graph(spark: SparkSession, sf_dir: str):
+    from loomspark.graph import GraphFrame
+
+    e = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    e = e.groupBy((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.count("*").alias("n"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return GraphFrame(c.unionByName(s), e)
+
+
+_GRAPH = """e AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+    v AS (SELECT c_custkey * 2 AS id, c_name AS name, c_nationkey AS nation FROM customer
+          UNION ALL SELECT s_suppkey * 2 + 1, s_name, s_nationkey FROM supplier)"""
+
+
+def _supply(spark: SparkSession, sf_dir: str):
+    """A sparser one with cycles: each supplier and customer points to those of its nation next in key order, and suppliers back."""
+    from loomspark.graph import GraphFrame
+
+    g = _graph(spark, sf_dir)
+    from pyspark.sql import Window
+
+    nxt = F.lead("id").over(Window.partitionBy("nation", F.col("id") % 2).orderBy("id"))
+    chain = g.vertices.select(F.col("id").alias("src"), nxt.alias("dst")).where("dst IS NOT NULL AND src % 14 < 12")
+    back = g.vertices.where("id % 2 = 1 AND id % 6 = 1").select(F.col("id").alias("src"), (F.col("id") - F.lit(1)).alias("dst"))
+    return GraphFrame(g.vertices, chain.unionByName(back))
+
+
+_SUPPLY = f"""{_GRAPH.replace("e AS", "e0 AS")},
+    e AS (SELECT id AS src, n AS dst FROM (SELECT id, lead(id) OVER (PARTITION BY nation, id % 2 ORDER BY id) AS n FROM v) WHERE n IS NOT NULL AND id % 14 < 12
+          UNION ALL SELECT id, id - 1 FROM v WHERE id % 2 = 1 AND id % 6 = 1)"""
+
+
+def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    return g.degrees.join(g.inDegrees, "id", "left").join(g.outDegrees, "id", "left").select("id", "degree", "inDegree", "outDegree")
+
+
+def graph_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).triplets.select(F.col("src.id").alias("a"), F.col("dst.id").alias("b"), F.col("src.name").alias("a_name"), F.col("dst.name").alias("b_name"), F.col("edge.n").alias("n"))
+
+
+def graph_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir).filterVertices("nation < 12").filterEdges("n > 1").dropIsolatedVertices()
+    return g.vertices.select("id", "nation")
+
+
+def graph_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.graph import AggregateMessages as AM
+
+    return _graph(spark, sf_dir).aggregateMessages(F.sum(AM.msg).cast("long").alias("total"), sendToSrc=AM.dst["nation"], sendToDst=AM.src["nation"] * AM.edge["n"])
+
+
+def graph_motif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _supply(spark, sf_dir).find("(a)-[]->(b); (b)-[]->(c); !(a)-[]->(c)")
+    return m.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"))
+
+
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supply(spark, sf_dir).connectedComponents().select("id", "component")
+
+
+def graph_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supply(spark, sf_dir).stronglyConnectedComponents(20).groupBy("component").agg(F.count("*").alias("n"))
+
+
+def graph_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supply(spark, sf_dir).labelPropagation(2).select("id", "label")
+
+
+def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).pageRank(maxIter=3).vertices.select("id", F.round("pagerank", 6).alias("pagerank"))
+
+
+def graph_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _supply(spark, sf_dir).parallelPersonalizedPageRank(sourceIds=[2, 3], maxIter=3)
+    return g.vertices.select("id", F.transform("pageranks", lambda x: F.round(x, 6)).alias("pageranks"))
+
+
+def graph_pregel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.graph import Pregel
+
+    p = _supply(spark, sf_dir).pregel.setMaxIter(4).withVertexColumn("low", F.col("id"), F.least(F.col("low"), Pregel.msg()))
+    return p.sendMsgToDst(Pregel.src("low")).aggMsgs(F.min(Pregel.msg())).run().select("id", "low")
+
+
+def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _supply(spark, sf_dir).shortestPaths([2, 3])
+    return out.select("id", F.explode("distances").alias("landmark", "d"))
+
+
+def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _graph(spark, sf_dir).bfs("id = 2", "nation = 3 AND id % 2 = 1")
+    return b.select(F.col("from.id").alias("a"), F.col("to.id").alias("b"))
+
+
+def graph_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.graph import GraphFrame
+
+    g = _supply(spark, sf_dir)
+    two = g.find("(a)-[]->(b); (b)-[]->(c)").select(F.col("a.id").alias("src"), F.col("c.id").alias("dst"))
+    return GraphFrame(g.vertices, g.edges.unionByName(two)).triangleCount().select("id", "count")
+
+
+def graph_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.graph import GraphFrame
+
+    g = _graph(spark, sf_dir)
+    v, _ = GraphFrame(g.vertices, g.edges.select("src", "dst", F.col("n").cast("double").alias("weight"))).svdPlusPlus(rank=4, maxIter=2)
+    return v.select("id", F.round("column3", 6).alias("bias"))
+
+
+def graph_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.graph.examples import belief_propagation, grid_ising_model
+
+    return belief_propagation(grid_ising_model(spark, 10), 2).select("id", F.round("belief", 6).alias("belief"))
+
+
+# batches and sampling
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.batches import BatchGenerator
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return BatchGenerator(spark, rows).split(256, "id", seed=1).groupBy("chunk").agg(F.count("*").alias("n"))
+
+
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.quality import Indices
+
+    rows = _vectors(spark, sf_dir)
+    return Indices(["x0"], "label").balanced_sample(rows, sample_size=10).select("vec_id", "label")
+
+
+_FORMS = [(m, w) for m in ("euclidean", "manhattan", "cosine") for w in (True, False)]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
+    {"knn_classify" + ("" if w else "_unweighted") + ("" if m == "euclidean" else f"_{m}"): _knn(m, w, False) for m, w in _FORMS}
+    | {"knn_regress" + ("" if w else "_unweighted") + ("" if m == "euclidean" else f"_{m}"): _knn(m, w, True) for m, w in _FORMS}
+    | {f"normalize_{m}": _normalize(m) for m in ("minmax", "zscore", "range")}
+    | {"modularity_newman": _modularity("newman"), "modularity_linked": _modularity("linked_pairs")}
+    | {
+        f.__name__: f
+        for f in (
+            p6_found, p6_tree, p7_found, p7_totals, sim_matrix, degree_norm, cluster_levels, cluster_squares, cluster_indices, lsh_buckets, lsh_bucket_sizes,
+            lsh_weights, lsh_sample, lsh_crosstab, graph_degrees, graph_triplets, graph_filters, graph_messages, graph_motif, graph_components, graph_scc,
+            graph_labels, graph_pagerank, graph_ppr, graph_pregel, graph_paths, graph_bfs, graph_triangles, graph_svd, graph_beliefs, batches, stratified_sample,
+        )
+    }
+)
+
+_RANK = "SELECT v.id, 0.15 + 0.85 * coalesce(sum(r.r * w.w), 0) AS r FROM v LEFT JOIN w ON w.dst = v.id LEFT JOIN {} r ON r.id = w.src GROUP BY v.id"
+_COUNT = "SELECT id, CAST(count(*) AS INTEGER)"
+
+SQL: dict[str, str] = (
+    {"knn_classify" + ("" if w else "_unweighted") + ("" if m == "euclidean" else f"_{m}"): _knn_sql(m, w, False) for m, w in _FORMS}
+    | {"knn_regress" + ("" if w else "_unweighted") + ("" if m == "euclidean" else f"_{m}"): _knn_sql(m, w, True) for m, w in _FORMS}
+    | {f"normalize_{m}": _normalize_sql(m) for m in ("minmax", "zscore", "range")}
+    | {
+        "p7_found": """
+            WITH c AS (SELECT regexp_replace(bucket_key, '\\s+', '', 'g') AS bucket_key, point_id FROM lshp_points
+                       WHERE bucket_key IS NOT NULL AND point_id IS NOT NULL)
+            SELECT bucket_key FROM c GROUP BY bucket_key
+            HAVING count(DISTINCT point_id) >= 0.025 * (SELECT count(DISTINCT point_id) FROM c)""",
+        "p7_totals": """
+            WITH c AS (SELECT regexp_replace(bucket_key, '\\s+', '', 'g') AS bucket_key, point_id,
+                              max(CASE WHEN weight > 0 AND NOT isnan(weight) THEN weight END) AS w
+                       FROM lshp_points WHERE bucket_key IS NOT NULL AND point_id IS NOT NULL GROUP BY ALL)
+            SELECT bucket_key, count(*) AS bucket_size, round(sum(w), 6) AS total_weight, count(w) AS weighted FROM c GROUP BY bucket_key""",
+        "sim_matrix": f'WITH {_PAIRS} SELECT "vec_id_A", "vec_id_B", round(distance, 6) AS distance FROM k',
+        "degree_norm": f"""WITH {_PAIRS},
+            n AS (SELECT x, 1 / sqrt(sum(distance)) AS d FROM (SELECT "vec_id_A" AS x, distance FROM k UNION ALL SELECT "vec_id_B", distance FROM k) GROUP BY x)
+            SELECT "vec_id_A", "vec_id_B", round(distance * a.d * b.d, 6) AS distance FROM k JOIN n a ON a.x = "vec_id_A" JOIN n b ON b.x = "vec_id_B" """,
+        "cluster_levels": f"""WITH RECURSIVE {_PAIRS},
+            l AS (SELECT "vec_id_A" AS a, "vec_id_B" AS b FROM k WHERE distance <= 1.1 UNION ALL SELECT "vec_id_B", "vec_id_A" FROM k WHERE distance <= 1.1),
+            r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id WHERE r.c < l.b)
+            SELECT id AS index_train, min(c) AS cluster FROM r GROUP BY id""",
+        "cluster_squares": """
+            WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
+            c AS (SELECT label, k, avg(x) AS c FROM x GROUP BY ALL), m AS (SELECT k, avg(x) AS m FROM x GROUP BY k)
+            SELECT label AS cluster, count(DISTINCT vec_id) AS n, round(sum((x - c) ** 2), 6) AS wss, round(sum((c - m) ** 2), 6) AS bss
+            FROM x JOIN c USING (label, k) JOIN m USING (k) GROUP BY label""",
+        "modularity_newman": f"{_MODULARITY} q AS (SELECT sum(k * k) AS kk FROM (SELECT l, sum(k) AS k FROM s GROUP BY l)) SELECT round((inside - kk / m2) / m2, 8) AS modularity FROM t, q",
+        "modularity_linked": f"{_MODULARITY} q AS (SELECT 2 * sum(x.k * y.k) AS kk FROM w JOIN s x ON x.x = w.a JOIN s y ON y.x = w.b WHERE la = lb) SELECT round((inside - kk / m2) / m2, 8) AS modularity FROM t, q",
+        "lsh_buckets": f"WITH {_bins_sql()} SELECT * FROM b",
+        "lsh_bucket_sizes": f"WITH {_bins_sql()} SELECT array_to_string(bins_0, '|') AS bucket_key, count(*) AS bucket_size FROM b GROUP BY 1",
+        "lsh_weights": f"""WITH {_bins_sql()}, k AS (SELECT vec_id, array_to_string(bins_1, '|') AS bucket_key FROM b)
+            SELECT vec_id, bucket_key, count(*) OVER w AS bucket_size, round(1 / (count(*) OVER w + 1e-10), 6) AS weight FROM k WINDOW w AS (PARTITION BY bucket_key)""",
+        "lsh_crosstab": f"WITH {_bins_sql()}, c AS (SELECT bins_1, count(DISTINCT bins_0) AS narrow_count FROM b GROUP BY bins_1) SELECT vec_id, narrow_count FROM b JOIN c USING (bins_1)",
+        "graph_degrees": f"""WITH {_GRAPH}, d AS ({_COUNT} AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
+            SELECT d.id, degree, i."inDegree", o."outDegree" FROM d LEFT JOIN ({_COUNT} AS "inDegree" FROM (SELECT dst AS id FROM e) GROUP BY id) i USING (id)
+            LEFT JOIN ({_COUNT} AS "outDegree" FROM (SELECT src AS id FROM e) GROUP BY id) o USING (id)""",
+        "graph_triplets": f"WITH {_GRAPH} SELECT src AS a, dst AS b, s.name AS a_name, d.name AS b_name, n FROM e JOIN v s ON s.id = src JOIN v d ON d.id = dst",
+        "graph_filters": f"""WITH {_GRAPH}, f AS (SELECT src, dst FROM e JOIN v s ON s.id = src JOIN v d ON d.id = dst WHERE s.nation < 12 AND d.nation < 12 AND n > 1)
+            SELECT id, nation FROM v WHERE id IN (SELECT src FROM f UNION SELECT dst FROM f)""",
+        "graph_messages": f"""WITH {_GRAPH} SELECT id, CAST(sum(m) AS BIGINT) AS total FROM (
+            SELECT src AS id, d.nation AS m FROM e JOIN v d ON d.id = dst UNION ALL SELECT dst, s.nation * n FROM e JOIN v s ON s.id = src) GROUP BY id""",
+        "graph_motif": f"WITH {_SUPPLY} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src WHERE NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst)",
+        "graph_pagerank": f"""WITH {_GRAPH}, w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e),
+            r0 AS (SELECT id, 1.0::DOUBLE AS r FROM v), r1 AS ({_RANK.format("r0")}), r2 AS ({_RANK.format("r1")}), r3 AS ({_RANK.format("r2")})
+            SELECT id, round(r, 6) AS pagerank FROM r3""",
+        "graph_pregel": f"WITH {_SUPPLY}, " + ", ".join(f"l{k + 1} AS (SELECT v.id, least(v.low, min(s.low)) AS low FROM {'(SELECT id, id AS low FROM v)' if not k else f'l{k}'} v LEFT JOIN e ON e.dst = v.id LEFT JOIN {'(SELECT id, id AS low FROM v)' if not k else f'l{k}'} s ON s.id = e.src GROUP BY v.id, v.low)" for k in range(4)) + " SELECT id, low FROM l4",
+        "graph_bfs": f"""WITH {_GRAPH} SELECT 2::BIGINT AS a, dst AS b FROM e JOIN v ON v.id = dst WHERE src = 2 AND nation = 3 AND dst % 2 = 1""",
+        "graph_paths": f"""WITH RECURSIVE {_SUPPLY}, r(id, landmark, d) AS (
+                SELECT id, id, 0 FROM v WHERE id IN (2, 3) UNION SELECT e.src, r.landmark, r.d + 1 FROM r JOIN e ON e.dst = r.id WHERE r.d < 200)
+            SELECT id, landmark, min(d) AS d FROM r GROUP BY id, landmark""",
+        "batches": "SELECT CAST(floor((row_number() OVER () - 1) / 256) + 1 AS INTEGER) AS chunk, 1 AS one, c_custkey FROM customer",
+    }
+)
+SQL["batches"] = f"SELECT chunk, count(*) AS n FROM ({SQL['batches']}) GROUP BY chunk"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(PROBLEMS)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(PROBLEM_SQL)
+    return dict(SQL)
