@@ -8,39 +8,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 class Indices:
     """wss, calinski_harabasz, wb_index, xu_index and silhouette of a clustering."""
 
     def __init__(self, features: list[str], cluster_col: str = "cluster"):
         self.features, self.cluster = features, cluster_col
 
-    def _x(self, c: str):
-        return F.col(c).cast("double")
+    def _f(self):
+        return F.array(*(F.col(c).cast("double") for c in self.features))
+
+    def _packed(self, df: DataFrame) -> DataFrame:
+        """(cluster, f): one array, as a filter on each of many columns makes the optimizer's constraints explode."""
+        return df.select(self.cluster, self._f().alias("f")).where(F.col(self.cluster).isNotNull() & ~F.exists("f", lambda x: x.isNull()))
 
     def squares(self, df: DataFrame, centroids: DataFrame) -> DataFrame:
         """(cluster, n, wss, bss): for each cluster that has a centroid, its rows, their squared distances to it, and the centroid's share
         of the spread between clusters about the mean of all rows. Rows with a null cluster or feature count in none."""
-        rows = df.where(F.col(self.cluster).isNotNull()).dropna(subset=self.features)
-        c = centroids.select(self.cluster, *(self._x(f).alias(f"c_{k}") for k, f in enumerate(self.features)))
-        mean = rows.agg(*(F.avg(self._x(f)).alias(f"m_{k}") for k, f in enumerate(self.features)))
-        # (x - c)^2 summed is sxx - 2 c sx + n c^2, so only the sums are joined with the centroids
-        sums = rows.groupBy(self.cluster).agg(F.count("*").alias("n"), *(F.sum(self._x(f)).alias(f"s_{k}") for k, f in enumerate(self.features)), *(F.sum(self._x(f) * self._x(f)).alias(f"q_{k}") for k, f in enumerate(self.features)))
+        rows, c = self._packed(df), centroids.select(self.cluster, self._f().alias("c"))
+        ks = [F.get("f", F.lit(k)) for k in range(len(self.features))]
+        mean = rows.agg(F.array(*map(F.avg, ks)).alias("m"))
+        # (x - c)^2 summed is xx - 2 c x + n c c, so only the sums are joined with the centroids
+        sums = rows.groupBy(self.cluster).agg(F.count("*").alias("n"), F.array(*map(F.sum, ks)).alias("s"), F.sum(_dot("f", "f")).alias("q"))
         at = sums.join(c, self.cluster).join(F.broadcast(mean))
-        ks = range(len(self.features))
-        wss = sum((F.col(f"q_{k}") - 2 * F.col(f"c_{k}") * F.col(f"s_{k}") + F.col("n") * F.col(f"c_{k}") * F.col(f"c_{k}") for k in ks), F.lit(0.0))
-        bss = F.col("n") * sum(((F.col(f"c_{k}") - F.col(f"m_{k}")) ** 2 for k in ks), F.lit(0.0))
-        return at.select(self.cluster, "n", F.greatest(wss, F.lit(0.0)).alias("wss"), bss.alias("bss"))
+        wss = F.col("q") - 2 * _dot("c", "s") + F.col("n") * _dot("c", "c")
+        apart = F.zip_with("c", "m", lambda x, y: x - y)
+        return at.select(self.cluster, "n", F.greatest(wss, F.lit(0.0)).alias("wss"), (F.col("n") * _dot(apart, apart)).alias("bss"))
 
     def silhouette(self, df: DataFrame) -> DataFrame:
         """One row (silhouette): the mean over rows, by squared euclidean distance, from the clusters' sums."""
-        rows = df.where(F.col(self.cluster).isNotNull()).dropna(subset=self.features)
-        f = F.array(*map(self._x, self.features))
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        ks = range(len(self.features))
-        sums = rows.groupBy(F.col(self.cluster).alias("c")).agg(F.count("*").alias("n"), F.array(*(F.sum(self._x(x)) for x in self.features)).alias("y"), F.sum(dot(f, f)).alias("p"))
+        rows = self._packed(df)
+        ks = [F.get("f", F.lit(k)) for k in range(len(self.features))]
+        sums = rows.groupBy(F.col(self.cluster).alias("c")).agg(F.count("*").alias("n"), F.array(*map(F.sum, ks)).alias("y"), F.sum(_dot("f", "f")).alias("p"))
         every = sums.agg(F.collect_list(F.struct("c", "n", "y", "p")).alias("all"))  # one entry per cluster
-        at = rows.select(F.col(self.cluster).alias("own"), f.alias("f"), dot(f, f).alias("xx")).join(F.broadcast(every))
-        total = lambda s: F.col("xx") * s["n"] + s["p"] - 2.0 * dot(F.col("f"), s["y"])
+        at = rows.select(F.col(self.cluster).alias("own"), "f", _dot("f", "f").alias("xx")).join(F.broadcast(every))
+        total = lambda s: F.col("xx") * s["n"] + s["p"] - 2.0 * _dot(F.col("f"), s["y"])
         mine = F.element_at(F.filter("all", lambda s: s["c"] == F.col("own")), 1)
         a = total(mine) / F.when(mine["n"] > 1, mine["n"] - 1)
         b = F.array_min(F.transform(F.filter("all", lambda s: s["c"] != F.col("own")), lambda s: total(s) / s["n"]))
