@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DIM = 64
@@ -244,22 +244,20 @@ def _supply(spark: SparkSession, sf_dir: str):
     from loomspark.graph import GraphFrame
 
     g = _graph(spark, sf_dir)
-    from pyspark.sql import Window
-
     nxt = F.lead("id").over(Window.partitionBy("nation", F.col("id") % 2).orderBy("id"))
     chain = g.vertices.select(F.col("id").alias("src"), nxt.alias("dst")).where("dst IS NOT NULL AND src % 14 < 12")
     back = g.vertices.where("id % 2 = 1 AND id % 6 = 1").select(F.col("id").alias("src"), (F.col("id") - F.lit(1)).alias("dst"))
     return GraphFrame(g.vertices, chain.unionByName(back))
 
 
-_SUPPLY = f"""{_GRAPH.replace("e AS", "e0 AS")},
+_SUPPLY = f"""{_GRAPH.replace("e AS (SELECT o_custkey", "e0 AS (SELECT o_custkey")},
     e AS (SELECT id AS src, n AS dst FROM (SELECT id, lead(id) OVER (PARTITION BY nation, id % 2 ORDER BY id) AS n FROM v) WHERE n IS NOT NULL AND id % 14 < 12
           UNION ALL SELECT id, id - 1 FROM v WHERE id % 2 = 1 AND id % 6 = 1)"""
 
 
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir)
-    return g.degrees.join(g.inDegrees, "id", "left").join(g.outDegrees, "id", "left").select("id", "degree", "inDegree", "outDegree")
+    return g.degrees.join(g.inDegrees, "id", "left").join(g.outDegrees, "id", "left").select("id", "degree", F.coalesce("inDegree", F.lit(0)).alias("inDegree"), F.coalesce("outDegree", F.lit(0)).alias("outDegree"))
 
 
 def graph_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,7 +412,7 @@ SQL: dict[str, str] = (
             SELECT vec_id, bucket_key, count(*) OVER w AS bucket_size, round(1 / (count(*) OVER w + 1e-10), 6) AS weight FROM k WINDOW w AS (PARTITION BY bucket_key)""",
         "lsh_crosstab": f"WITH {_bins_sql()}, c AS (SELECT bins_1, count(DISTINCT bins_0) AS narrow_count FROM b GROUP BY bins_1) SELECT vec_id, narrow_count FROM b JOIN c USING (bins_1)",
         "graph_degrees": f"""WITH {_GRAPH}, d AS ({_COUNT} AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
-            SELECT d.id, degree, i."inDegree", o."outDegree" FROM d LEFT JOIN ({_COUNT} AS "inDegree" FROM (SELECT dst AS id FROM e) GROUP BY id) i USING (id)
+            SELECT d.id, degree, coalesce(i."inDegree", 0) AS "inDegree", coalesce(o."outDegree", 0) AS "outDegree" FROM d LEFT JOIN ({_COUNT} AS "inDegree" FROM (SELECT dst AS id FROM e) GROUP BY id) i USING (id)
             LEFT JOIN ({_COUNT} AS "outDegree" FROM (SELECT src AS id FROM e) GROUP BY id) o USING (id)""",
         "graph_triplets": f"WITH {_GRAPH} SELECT src AS a, dst AS b, s.name AS a_name, d.name AS b_name, n FROM e JOIN v s ON s.id = src JOIN v d ON d.id = dst",
         "graph_filters": f"""WITH {_GRAPH}, f AS (SELECT src, dst FROM e JOIN v s ON s.id = src JOIN v d ON d.id = dst WHERE s.nation < 12 AND d.nation < 12 AND n > 1)
@@ -430,6 +428,9 @@ SQL: dict[str, str] = (
         "graph_paths": f"""WITH RECURSIVE {_SUPPLY}, r(id, landmark, d) AS (
                 SELECT id, id, 0 FROM v WHERE id IN (2, 3) UNION SELECT e.src, r.landmark, r.d + 1 FROM r JOIN e ON e.dst = r.id WHERE r.d < 200)
             SELECT id, landmark, min(d) AS d FROM r GROUP BY id, landmark""",
+        "graph_components": f"""WITH RECURSIVE {_SUPPLY}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e),
+            r(id, c) AS (SELECT id, id FROM v UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.id WHERE r.c < b.y)
+            SELECT id, min(c) AS component FROM r GROUP BY id""",
         "batches": "SELECT CAST(floor((row_number() OVER () - 1) / 256) + 1 AS INTEGER) AS chunk, 1 AS one, c_custkey FROM customer",
     }
 )
