@@ -1,15 +1,15 @@
-"""Iterative graph algorithms: a driver loop of joins and aggregates, the lineage cut in every round by a checkpoint that all executors share."""
+"""Iterative graph algorithms: a driver loop of joins and aggregates, the lineage cut in every round by a table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.session import shared_dir
+from loomspark.session import Workspace, shared_dir
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
+    return Workspace(df.sparkSession).keep(df)
 
 
 def components_of(links: DataFrame) -> DataFrame:
