@@ -1,7 +1,7 @@
 """Template residue and error-page text, by character n-gram models.
 
-Four small models are fitted on seed texts: filler, error messages and dumps, notices that scripts are required, and field names of
-templates; a fifth holds sentences of people who mention such things. What the n-grams of these models are worth as evidence is decided
+Small models are fitted on seed texts: filler, pseudo-Latin filler, error messages and dumps, and notices that scripts are required;
+another one holds sentences of people who mention such things. What the n-grams of these models are worth as evidence is decided
 by the corpus itself: natural prose is the n-gram counts over all documents. A text's windows are its units (sentences and lines) and
 every stretch of WINDOW characters; a window is residue if the mean log-likelihood ratio of its n-grams reaches THRESHOLD for a residue
 model and is above that of the mention model. Template fields are found by their delimiters and judged by what stands between them. A
@@ -84,7 +84,7 @@ MENTION = [
     "la aplicación mostró el error 0 y luego funcionó", "i give it [0 out of 0] so far", "von mir [0 von 0] punkten", "le doy [0 de 0] por ahora", "je mets [0 sur 0] pour le moment",
 ]
 
-CLASSES = ("filler", "error", "script", "mention")
+CLASSES = ("filler", "latin", "error", "script", "mention")
 #: Template fields: delimiters that hardly occur otherwise, those that need a field name between them, and slots without a name.
 _SURE = regex.compile(r"\{\{\s*([\w.]{1,40})\s*\}\}|\[\[\s*([\w.]{1,40})\s*\]\]|\$\{\s*([\w.]{1,40})\s*\}|<%=?\s*([\w.]{1,40})\s*%>|\{%[^{}%]{1,80}%\}|@@([\w.]{1,40})@@|%\(([\w.]{1,40})\)s|\[(?:insert|enter|add|your)\s[^\[\]]{1,40}\]", regex.I)
 _NAMED = regex.compile(r"\{([\w.]{1,40})\}|\[([\w.]{1,40})\]|<([\w.]{1,40})>|&lt;([\w.]{1,40})&gt;|%([\w.]{1,40})%|#([\w.]{1,40})#|\$([\w.]{1,40})\$|__([\w.]{1,40}?)__", regex.I)
@@ -116,7 +116,7 @@ def _grams(text: str) -> np.ndarray:
 
 def seed_texts() -> dict[str, list[str]]:
     pairs = [f"{a} {b}" for a in LOREM for b in LOREM]
-    return {"filler": FILLER + pairs, "error": ERROR, "script": SCRIPT, "mention": MENTION}
+    return {"filler": FILLER, "latin": pairs, "error": ERROR, "script": SCRIPT, "mention": MENTION}
 
 
 class Models:
@@ -150,7 +150,7 @@ class Models:
         covered, kinds = np.zeros(len(text), dtype=bool), set()
         for a, b in _fields(text):
             about = self._scores(text[max(0, a - 45) : b + 30])
-            if about is None or about[3] < THRESHOLD:
+            if about is None or about[-1] < THRESHOLD:
                 covered[a:b] = True
                 kinds.add("field")
         if not self._any(text):
@@ -162,7 +162,7 @@ class Models:
             if unit.strip():
                 for a, b, kind in self._windows(unit):
                     covered[start + a : start + b] = True
-                    kinds.add(kind)
+                    kinds.add("filler" if kind == "latin" else kind)
             start = m.end() if m else end
         return int(covered.sum()), kinds
 
@@ -171,7 +171,7 @@ class Models:
         grams = _grams(text)
         if not len(grams):
             return False
-        sums = np.cumsum(np.c_[np.zeros(3), self.worth[:3, self.places(grams)]], axis=1)
+        sums = np.cumsum(np.c_[np.zeros(len(CLASSES) - 1), self.worth[:-1, self.places(grams)]], axis=1)
         return bool((sums - np.minimum.accumulate(sums, axis=1)).max() >= EVIDENCE)
 
     def _scores(self, text: str) -> np.ndarray | None:
@@ -187,19 +187,19 @@ class Models:
             return
         worth = self.worth[:, at]
         mean = worth.mean(axis=1)
-        best = int(mean[:3].argmax())
+        best = int(mean[:-1].argmax())
         if mean[best] >= (SHORT_MEAN if len(grams) < SHORT else THRESHOLD):
-            if mean[best] > mean[3] and worth[best].sum() >= EVIDENCE:
+            if mean[best] > mean[-1] and worth[best].sum() >= EVIDENCE:
                 yield 0, len(unit), CLASSES[best]
             return
-        if mean[3] >= THRESHOLD or len(grams) <= WINDOW:
+        if mean[-1] >= THRESHOLD or len(grams) <= WINDOW:
             return
-        sums = np.cumsum(np.c_[np.zeros(4), worth], axis=1)
+        sums = np.cumsum(np.c_[np.zeros(len(CLASSES)), worth], axis=1)
         run = (sums[:, WINDOW:] - sums[:, :-WINDOW]) / WINDOW
-        hit = np.flatnonzero((run[:3].max(axis=0) >= THRESHOLD) & (run[3] < run[:3].max(axis=0)))
+        hit = np.flatnonzero((run[:-1].max(axis=0) >= THRESHOLD) & (run[-1] < run[:-1].max(axis=0)))
         if len(hit):
             scale = len(unit) / len(grams)  # spaces and digits may have been joined
-            yield int(hit[0] * scale), min(len(unit), int((hit[-1] + WINDOW) * scale) + 1), CLASSES[int(run[:3, hit].max(axis=1).argmax())]
+            yield int(hit[0] * scale), min(len(unit), int((hit[-1] + WINDOW) * scale) + 1), CLASSES[int(run[:-1, hit].max(axis=1).argmax())]
 
 
 def _fields(text: str) -> Iterator[tuple[int, int]]:
