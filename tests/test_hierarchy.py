@@ -30,9 +30,9 @@ def random_forest(n, seed):
     return links
 
 
-@pytest.mark.parametrize("range_nodes", [1000, 40])
+@pytest.mark.parametrize("range_nodes", [1000, 50])
 def test_against_brute_force(spark, range_nodes):
-    links = random_forest(300, range_nodes)
+    links = random_forest(120, range_nodes)
     df = spark.createDataFrame([(i, p, "x", 1) for i, p in links], "id long, parent long, size string, path int")
     tree = hierarchy(df, range_nodes=range_nodes).cache()
     rows = {r.id: r for r in tree.collect()}
@@ -51,9 +51,9 @@ def test_against_brute_force(spark, range_nodes):
 
 
 def test_long_chain_in_ranges_and_long_cycle(spark):
-    chain = [(i, i - 1) for i in range(1, 500)] + [(i, i + 1) for i in range(1000, 1099)] + [(1099, 1000)]
+    chain = [(i, i - 1) for i in range(1, 200)] + [(i, i + 1) for i in range(1000, 1099)] + [(1099, 1000)]
     rows = {r.id: r for r in hierarchy(spark.createDataFrame(chain, "id long, parent long"), range_nodes=60).collect()}
-    assert rows[499].root_id == 1 and rows[499].depth == 498 and rows[1].size == 499
+    assert rows[199].root_id == 1 and rows[199].depth == 198 and rows[1].size == 199
     assert {rows[i].root_id for i in range(1000, 1100)} == {1000}
 
 
