@@ -26,13 +26,13 @@ from loomspark.session import Workspace, shuffle_partitions
 #: Rows on which the hash trees are fitted, at most.
 SAMPLE_ROWS = 40_000
 #: Rows of a bucket above which it is hashed again.
-BUCKET_ROWS = 3_000
+BUCKET_ROWS = 4_000
 #: Rows of one block of a bucket, and queries of one block of those that probe it.
 BLOCK_ROWS = 8_000
 BLOCK_QUERIES = 4_000
 #: Tables, and buckets that a query probes in each.
 TABLES = 2
-PROBES = 6
+PROBES = 12
 
 
 def usable(features: Column, dim: int) -> Column:
