@@ -2,8 +2,9 @@
 
 Small models are fitted on seed texts: filler, pseudo-Latin filler, error messages and dumps, and notices that scripts are required;
 another one holds sentences of people who mention such things. What the n-grams of these models are worth as evidence is decided
-by the corpus itself: natural prose is the n-gram counts over all documents. A text's windows are its units (sentences and lines) and
-every stretch of WINDOW characters; a window is residue if the mean log-likelihood ratio of its n-grams reaches THRESHOLD for a residue
+by the corpus itself: natural prose is the n-gram counts over all documents, without the windows that would be residue if no n-gram of
+the seed texts stood in prose. A notice is one of these however often it occurs, so its copies don't make it prose. A text's windows are
+its units (sentences and lines) and every stretch of WINDOW characters; a window is residue if the mean log-likelihood ratio of its n-grams reaches THRESHOLD for a residue
 model and is above that of the mention model. Template fields are found by their delimiters and judged by what stands between them. A
 document's coverage is the part of its characters that lies in residue windows.
 """
@@ -103,7 +104,10 @@ def _codes(text: str) -> np.ndarray:
 
 def _grams(text: str) -> np.ndarray:
     """A number for each n-gram of a text, in order."""
-    c = _codes(text)
+    return _hashes(_codes(text))
+
+
+def _hashes(c: np.ndarray) -> np.ndarray:
     if len(c) < N:
         return np.zeros(0, dtype=np.uint64)
     h = np.zeros(len(c) - N + 1, dtype=np.uint64)
@@ -130,7 +134,8 @@ class Models:
             np.add.at(self.counts[k], np.searchsorted(self.grams, seen[c][0]), 1)
         # each distinct n-gram of a class once: a class is a set of phrases, not a sample of their frequencies
         self.counts = (self.counts > 0).astype(float)
-        self.worth = np.zeros_like(self.counts)
+        self.seeds = np.r_[(self.counts[:-1] > 0).any(axis=0), False]
+        self.fit(np.zeros(len(self.grams)), 0)
 
     def places(self, grams: np.ndarray) -> np.ndarray:
         """The n-grams' numbers, one past the last for those of no class."""
@@ -138,11 +143,11 @@ class Models:
         return np.where(self.grams[np.minimum(at, len(self.grams) - 1)] == grams, np.minimum(at, len(self.grams) - 1), len(self.grams))
 
     def fit(self, natural: np.ndarray, total: int) -> None:
-        """natural: how often each n-gram stands in the corpus, of ``total`` n-grams in all."""
+        """natural: how often each n-gram stands in natural prose, of ``total`` n-grams in all. With none, every seed n-gram is worth MOST."""
         own = self.counts / np.maximum(1, self.counts.sum(axis=1, keepdims=True))
         prose = (natural + 0.5) / (total + 1.0)
         with np.errstate(divide="ignore"):
-            ratio = np.clip(np.log(own / prose), -MOST, MOST)
+            ratio = np.clip(np.log(own / prose), -MOST, MOST) if total else np.full_like(own, MOST)
         self.worth = np.c_[np.where(self.counts > 0, ratio, UNSEEN), np.full(len(CLASSES), UNSEEN)]
 
     def judge(self, text: str) -> tuple[int, set[str]]:
@@ -166,6 +171,32 @@ class Models:
             start = m.end() if m else end
         return int(covered.sum()), kinds
 
+    def prose(self, text: str) -> np.ndarray:
+        """The numbers of the n-grams of a text that count as natural prose while nothing is fitted: of all but its residue windows. Of
+        equal evidence for residue and for a mention, residue counts here. Few units have the seed n-grams that a window needs; the others
+        are counted at once."""
+        units = [u for u in _UNIT.split(text.replace("\0", " ")) if u.strip()]
+        codes = _codes(" \0 ".join(units))
+        if not units or len(codes) < N:
+            return np.zeros(0, dtype=np.int64)
+        at = self.places(_hashes(codes))
+        ends = np.r_[np.flatnonzero(codes == 0), len(codes)]
+        starts = np.r_[0, ends[:-1] + 1]
+        n = np.maximum(ends - starts - N + 1, 0)
+        seeds = np.r_[0, np.cumsum(self.seeds[at])]
+        least = (THRESHOLD - UNSEEN) / (MOST - UNSEEN)
+        maybe = (seeds[np.minimum(starts + n, len(at))] - seeds[np.minimum(starts, len(at))] >= least * n) & (n > 0)
+        if len(at) > WINDOW and (seeds[WINDOW:] - seeds[:-WINDOW]).max() >= least * WINDOW:
+            maybe |= n > WINDOW
+        out = [at[a : a + k] for a, k in zip(starts[~maybe].tolist(), n[~maybe].tolist())]
+        for k in np.flatnonzero(maybe).tolist():
+            start = 0
+            for a, b, _ in self._windows(units[k], ties=True):
+                out.append(self.places(_grams(units[k][start:a])))
+                start = b
+            out.append(self.places(_grams(units[k][start:])))
+        return np.concatenate(out)
+
     def _any(self, text: str) -> bool:
         """Whether any stretch of the text has the evidence that a window needs; most texts have none, and that is quickly seen."""
         grams = _grams(text)
@@ -178,7 +209,7 @@ class Models:
         grams = _grams(text)
         return self.worth[:, self.places(grams)].mean(axis=1) if len(grams) else None
 
-    def _windows(self, unit: str) -> Iterator[tuple[int, int, str]]:
+    def _windows(self, unit: str, ties: bool = False) -> Iterator[tuple[int, int, str]]:
         grams = _grams(unit)
         if not len(grams):
             return
@@ -189,7 +220,7 @@ class Models:
         mean = worth.mean(axis=1)
         best = int(mean[:-1].argmax())
         if mean[best] >= (SHORT_MEAN if len(grams) < SHORT else THRESHOLD):
-            if mean[best] > mean[-1] and worth[best].sum() >= EVIDENCE:
+            if (mean[best] > mean[-1] or ties and mean[best] == mean[-1]) and worth[best].sum() >= EVIDENCE:
                 yield 0, len(unit), CLASSES[best]
             return
         if mean[-1] >= THRESHOLD or len(grams) <= WINDOW:
@@ -222,7 +253,7 @@ def _count(models: Models):
         total, seen = 0, np.zeros(len(models.grams) + 1, dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
-                at = models.places(_grams(text))
+                at = models.prose(text)
                 total += len(at)
                 seen += np.bincount(at, minlength=len(seen))
         some = np.flatnonzero(seen[:-1])
@@ -232,7 +263,7 @@ def _count(models: Models):
 
 
 def fit_models(documents: DataFrame, text: str = "text") -> Models:
-    """The models, with natural prose counted over all texts. One row for each n-gram of the seed texts comes to the driver."""
+    """The models, with natural prose counted over all texts but their residue windows. One row for each n-gram of the seed texts comes to the driver."""
     models = Models()
     texts = documents.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     counted = texts.mapInPandas(_count(models), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()

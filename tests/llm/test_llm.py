@@ -195,3 +195,13 @@ def test_residue(spark):
     assert {r.doc_id for r in got} == {1000 + i for i in range(len(bad))} and len(got) == len(bad) and all(0 < r.coverage <= 1 for r in got)
     assert without_residue(df).where("doc_id >= 2000").count() == len(good)
     assert residue(df.limit(0)).count() == 0
+
+
+def test_residue_in_a_third_of_the_rows(spark):
+    rng = random.Random(9)
+    vocabulary = "lid handle solid week manual parts fit brother office colour strap dial heavy light paid warm cold shelf quiet clean".split()
+    prose = [" ".join(rng.choices(vocabulary, k=40)).capitalize() + "." for _ in range(400)]
+    for notice in ("404 Not Found", "Failed to load review. Please try again later", "Please enable JavaScript to view this page.", "PLACEHOLDER BODY", f"{prose[0]}\nInternal Server Error"):
+        rows = list(enumerate(prose)) + [(1000 + i, notice) for i in range(200)] + [(5000, "The mug has lorem ipsum printed on it as a joke.")]
+        found = residue(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.doc_id for r in found.collect()} == {1000 + i for i in range(200)}
