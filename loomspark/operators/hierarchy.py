@@ -65,14 +65,18 @@ def _peel_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cycle_least(ring: DataFrame, ws: Workspace) -> DataFrame:
-    """(id, root_id): the least id on each node's cycle, by doubling: after round r a node knows the least of 2**r ids from itself on."""
-    state = ws.keep(ring.select("id", F.col("parent").alias("next"), F.least("id", "parent").alias("low")), "ring")
+    """(id, root_id, loop_at): the least id on each node's cycle and the steps to it, by doubling: after round r a node knows the least of 2**r ids from itself on."""
+    state = ws.keep(ring.select("id", F.col("parent").alias("next"), F.least("id", "parent").alias("low"), (F.col("parent") < F.col("id")).cast("long").alias("steps")), "ring")
+    hop = 1
     while True:
-        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("further"), F.col("low").alias("theirs"))
-        newer = ws.keep(state.join(ahead, "next").select("id", F.col("further").alias("next"), F.least("low", "theirs").alias("low"), (F.col("theirs") < F.col("low")).alias("moved")), "ring")
+        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("further"), F.col("low").alias("theirs"), (F.col("steps") + hop).alias("their_steps"))
+        moved = F.col("theirs") < F.col("low")
+        steps = F.when(moved, F.col("their_steps")).otherwise(F.col("steps")).alias("steps")
+        newer = ws.keep(state.join(ahead, "next").select("id", F.col("further").alias("next"), F.least("low", "theirs").alias("low"), steps, moved.alias("moved")), "ring")
         ws.drop(state)
         if newer.where("moved").isEmpty():
-            return newer.select("id", F.col("low").alias("root_id"))
+            return newer.select("id", F.col("low").alias("root_id"), F.col("steps").alias("loop_at"))
+        hop *= 2
         state = newer.drop("moved")
         state._loom_path = newer._loom_path
 
@@ -81,7 +85,7 @@ def _ring_least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The same for all cycles at once, when they fit one range."""
     if parts := [b for b in batches if len(b)]:
         rows = pd.concat(parts, ignore_index=True)
-        nxt, low = dict(zip(rows["id"].tolist(), rows["parent"].tolist())), {}
+        nxt, low, steps = dict(zip(rows["id"].tolist(), rows["parent"].tolist())), {}, {}
         for start in nxt:
             if start not in low:
                 ring, at = [start], nxt[start]
@@ -89,7 +93,9 @@ def _ring_least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     ring.append(at)
                     at = nxt[at]
                 low |= dict.fromkeys(ring, min(ring))
-        yield pd.DataFrame({"id": list(low), "root_id": list(low.values())})
+                first = ring.index(min(ring))
+                steps |= {x: (first - k) % len(ring) for k, x in enumerate(ring)}
+        yield pd.DataFrame({"id": list(low), "root_id": list(low.values()), "loop_at": list(steps.values())})
 
 
 def _offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +122,7 @@ def _before(nodes: DataFrame) -> DataFrame:
 
 
 def hierarchy(df: DataFrame, id: str = "id", parent: str = "parent", *, range_nodes: int = RANGE_NODES) -> DataFrame:
-    """One row for each distinct id: id, parent, root_id, depth, size, pre, last, cyclic.
+    """One row for each distinct id: id, parent, root_id, depth, size, pre, last, cyclic, loop_id, loop_at.
 
     A parent that is null, 0 or no id of the table means none. depth is 0 for a root; size counts the node and all its descendants; pre
     is the node's place in the pre-order of its tree (root 0, siblings by id) and last that of its last descendant. So a node's
@@ -124,8 +130,10 @@ def hierarchy(df: DataFrame, id: str = "id", parent: str = "parent", *, range_no
     pre: whole results in linear size, while written out they grow with the square of the depth. :func:`paths` and :func:`descendants`
     write them out.
 
-    A node that never reaches a root (on a cycle, or below one) is cyclic: its root_id is the least id on that cycle; depth, pre and last
-    are null, and on the cycle size too. Rows with a null id are left out. Of rows that repeat an id the least usable parent counts. An
+    A node that never reaches a root (on a cycle, or below one) is cyclic: its root_id is the least id on that cycle and its depth is null.
+    loop_id is the first node on the cycle above it (itself if it is on the cycle), and pre and last are places in the tree that hangs below
+    loop_id, so its descendants off the cycle are the rows of its loop_id. loop_at, set on the cycle only, is the number of steps over parents
+    to root_id; size counts the rest of the cycle, and what hangs below it, among a cycle node's descendants. Rows with a null id are left out. Of rows that repeat an id the least usable parent counts. An
     empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
@@ -151,20 +159,23 @@ def hierarchy(df: DataFrame, id: str = "id", parent: str = "parent", *, range_no
         before, n = n, left.count()
         if n == before or ranges == 1:
             break
-    ring = left.select("id", "parent")
+    ring = left.select("id", "parent", F.col("size").alias("span"))
     nothing = F.lit(None).cast("long")
     if n:
-        roots = ws.keep(ring.coalesce(1).mapInPandas(_ring_least, "id long, root_id long") if n <= range_nodes else _cycle_least(ring, ws), "rings")
-        done = ring.join(roots, "id").select("id", "parent", "root_id", nothing.alias("depth"), nothing.alias("size"), nothing.alias("pre"), F.lit(True).alias("cyclic"))
+        roots = ws.keep(ring.coalesce(1).mapInPandas(_ring_least, "id long, root_id long, loop_at long") if n <= range_nodes else _cycle_least(ring, ws), "rings")
+        ring = ring.join(roots, "id")
+        ring = ring.join(ring.groupBy("root_id").agg(F.sum("span").alias("size")), "root_id")
+        pre = F.lit(0).cast("long").alias("pre")
+        done = ring.select("id", "parent", "root_id", nothing.alias("depth"), "size", pre, F.lit(True).alias("cyclic"), "span", F.col("id").alias("loop_id"), "loop_at")
     else:
-        done = spark.createDataFrame([], "id long, parent long, root_id long, depth long, size long, pre long, cyclic boolean")
+        done = spark.createDataFrame([], "id long, parent long, root_id long, depth long, size long, pre long, cyclic boolean, span long, loop_id long, loop_at long")
     every = [peeled.where("gone").select("id", "parent", "size") for peeled in rounds]
     before = ws.keep(_before(reduce(DataFrame.unionByName, every).where("parent IS NOT NULL")), "before") if every else None
     for peeled in reversed(rounds):
         gone = peeled.where("gone").join(before, "id", "left").withColumn("before", F.coalesce("before", F.lit(0)))
         gone = ws.keep(gone.select("id", "parent", "size", "top", "hops", "before"), "gone")
         rel = gone.repartition("top").mapInPandas(_offsets, "id long, rel long")
-        above = done.select(F.col("id").alias("above"), "root_id", "depth", F.col("pre").alias("over"), "cyclic")
+        above = done.select(F.col("id").alias("above"), "root_id", "depth", F.col("pre").alias("over"), "cyclic", "loop_id")
         new = F.col("above").isNull()
         tops = gone.where("hops = 0").select("top", "before", F.col("parent").alias("above")).join(above, "above", "left")
         tops = tops.select(
@@ -173,11 +184,12 @@ def hierarchy(df: DataFrame, id: str = "id", parent: str = "parent", *, range_no
             F.when(new, 0).otherwise(F.col("depth") + 1).alias("from_depth"),
             F.when(new, 0).otherwise(F.col("over") + 1 + F.col("before")).alias("from_pre"),
             F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
+            "loop_id",
         )
         inner = gone.join(rel, "id").join(tops, "top")
-        inner = inner.select("id", "parent", "root_id", (F.col("from_depth") + F.col("hops")).alias("depth"), "size", (F.col("from_pre") + F.col("rel")).alias("pre"), "cyclic")
+        inner = inner.select("id", "parent", "root_id", (F.col("from_depth") + F.col("hops")).alias("depth"), "size", (F.col("from_pre") + F.col("rel")).alias("pre"), "cyclic", F.col("size").alias("span"), "loop_id", nothing.alias("loop_at"))
         done = ws.keep(done.unionByName(inner), "done")
-    return done.select("id", "parent", "root_id", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), "cyclic")
+    return done.select("id", "parent", "root_id", "depth", "size", "pre", (F.col("pre") + F.col("span") - 1).alias("last"), "cyclic", "loop_id", "loop_at")
 
 
 def _stack_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,16 +212,28 @@ def _stack_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "path"])
 
 
-def paths(tree: DataFrame, unit_nodes: int = 10_000) -> DataFrame:
-    """(id, path): the ids from the root to each node, both included; cyclic nodes have none. Large trees are split into units of the pre-order."""
-    at = tree.where("NOT cyclic").select("root_id", "id", "pre", "last", F.floor(F.col("pre") / unit_nodes).alias("unit"), F.lit(True).alias("own"))
+def paths(tree: DataFrame, unit_nodes: int = 10_000, *, loops: bool = False) -> DataFrame:
+    """(id, path): the ids from the root to each node, both included. Cyclic nodes have none, or with ``loops`` the ids from their loop_id on.
+    Large trees are split into units of the pre-order."""
+    tree = tree.withColumn("root_id", F.coalesce("loop_id", "root_id")) if loops else tree.where("NOT cyclic")
+    at = tree.select("root_id", "id", "pre", "last", F.floor(F.col("pre") / unit_nodes).alias("unit"), F.lit(True).alias("own"))
     over = at.select("root_id", "id", "pre", "last", F.floor(F.col("last") / unit_nodes).alias("end"), "unit").where("end > unit")
     over = over.select("root_id", "id", "pre", "last", F.explode(F.sequence(F.col("unit") + 1, "end")).alias("unit"), F.lit(False).alias("own"))
     rows = at.unionByName(over).repartition("root_id", "unit").sortWithinPartitions("root_id", "unit", "pre")
     return rows.mapInPandas(_stack_paths, "id long, path array<long>")
 
 
-def descendants(tree: DataFrame) -> DataFrame:
-    """(id, descendant, distance): every node with each node below it; cyclic nodes have none."""
-    at = paths(tree).select(F.col("id").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("pos", "id"))
-    return at.where("id <> descendant").select("id", "descendant", (F.col("n") - 1 - F.col("pos")).alias("distance"))
+def descendants(tree: DataFrame, *, loops: bool = False) -> DataFrame:
+    """(id, descendant, distance): every node with each node below it. Cyclic nodes have none, or with ``loops`` all that they lead to: below
+    a node on a cycle are the others on it and all that hangs below them, at the distance of the first time round."""
+    at = paths(tree, loops=loops).select(F.col("id").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("pos", "id"))
+    out = at.where("id <> descendant").select("id", "descendant", (F.col("n") - 1 - F.col("pos")).alias("distance"))
+    if not loops:
+        return out
+    ring = tree.where("loop_at IS NOT NULL").select("root_id", F.col("id").alias("loop_id"), "loop_at")
+    length = ring.groupBy("root_id").agg(F.count("*").alias("length"))
+    above = ring.select("root_id", F.col("loop_id").alias("id"), F.col("loop_at").alias("above_at"))
+    steps = F.pmod(F.col("loop_at") - F.col("above_at"), F.col("length"))
+    apart = ring.join(length, "root_id").join(above, "root_id").where("id <> loop_id").select("id", "loop_id", steps.alias("steps"))
+    hanging = paths(tree.where("cyclic"), loops=True).select(F.col("id").alias("descendant"), F.get("path", F.lit(0)).alias("loop_id"), (F.size("path") - 1).alias("deep"))
+    return out.unionByName(apart.join(hanging, "loop_id").select("id", "descendant", (F.col("steps") + F.col("deep")).cast("int").alias("distance")))

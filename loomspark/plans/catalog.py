@@ -29,6 +29,18 @@ def p6_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy(table(spark, sf_dir, "hn_items"))
 
 
+def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.hierarchy import hierarchy, paths
+
+    return paths(hierarchy(table(spark, sf_dir, "hn_items")), loops=True)
+
+
+def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.operators.hierarchy import descendants, hierarchy
+
+    return descendants(hierarchy(table(spark, sf_dir, "hn_items")), loops=True)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.operators.skew import heavy_keys
 
@@ -366,7 +378,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
     | {
         f.__name__: f
         for f in (
-            p6_found, p6_tree, p7_found, p7_totals, sim_matrix, degree_norm, cluster_levels, cluster_squares, cluster_indices, lsh_buckets, lsh_bucket_sizes,
+            p6_found, p6_tree, p6_paths, p6_descendants, p7_found, p7_totals, sim_matrix, degree_norm, cluster_levels, cluster_squares, cluster_indices, lsh_buckets, lsh_bucket_sizes,
             lsh_weights, lsh_sample, lsh_crosstab, graph_degrees, graph_triplets, graph_filters, graph_messages, graph_motif, graph_components, graph_scc,
             graph_labels, graph_pagerank, graph_ppr, graph_pregel, graph_paths, graph_bfs, graph_triangles, graph_svd, graph_beliefs, batches, stratified_sample,
         )

@@ -57,5 +57,25 @@ def test_long_chain_in_ranges_and_long_cycle(spark):
     assert {rows[i].root_id for i in range(1000, 1100)} == {1000}
 
 
+@pytest.mark.parametrize("range_nodes", [1000, 5])
+def test_paths_and_descendants_of_loops(spark, range_nodes):
+    links = random_forest(25, 3) + [(60 + i, 60 + (i + 1) % 7) for i in range(7)] + [(70, 63), (71, 70), (72, 70), (73, 61), (74, 73)]
+    tree = hierarchy(spark.createDataFrame(links, "id long, parent long"), range_nodes=range_nodes).cache()
+    parent = {r.id: r.parent for r in tree.collect()}
+    want_paths, want = {}, set()
+    for i in parent:
+        walk, x = [], i
+        while x is not None and x not in walk:
+            walk.append(x)
+            x = parent[x]
+        stop = next(k for k, y in enumerate(walk) if x is None and parent[y] is None or x is not None and y in walk[walk.index(x) :])
+        want_paths[i] = walk[stop::-1]
+        want |= {(a, i, k) for k, a in enumerate(walk) if k}
+    assert {r.id: r.path for r in paths(tree, unit_nodes=3, loops=True).collect()} == want_paths
+    got = [tuple(r) for r in descendants(tree, loops=True).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {r.id: r["size"] for r in tree.collect()} == {i: 1 + sum(a == i for a, _, _ in want) for i in parent}
+
+
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], "id long, parent long")).count() == 0
