@@ -133,6 +133,14 @@ def cluster_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return HiClust(rows).fit(distance_threshold=1.1, max_iterations=1).get_clusters()
 
 
+def cluster_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's cluster at each level, until nothing merges or the default number of rounds is over."""
+    from loomspark.operators.cluster import HiClust
+
+    rows = _vectors(spark, sf_dir).drop("label").withColumnRenamed("vec_id", "index_train")
+    return HiClust(rows).fit(distance_threshold=1.1).combine_cluster_iterations()
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _vectors(spark, sf_dir).withColumnRenamed("label", "cluster")
     return rows, rows.groupBy("cluster").agg(*(F.avg(f"x{k}").alias(f"x{k}") for k in range(DIM)))
@@ -378,7 +386,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
     | {
         f.__name__: f
         for f in (
-            p6_found, p6_tree, p6_paths, p6_descendants, p7_found, p7_totals, sim_matrix, degree_norm, cluster_levels, cluster_squares, cluster_indices, lsh_buckets, lsh_bucket_sizes,
+            p6_found, p6_tree, p6_paths, p6_descendants, p7_found, p7_totals, sim_matrix, degree_norm, cluster_levels, cluster_history, cluster_squares, cluster_indices, lsh_buckets, lsh_bucket_sizes,
             lsh_weights, lsh_sample, lsh_crosstab, graph_degrees, graph_triplets, graph_filters, graph_messages, graph_motif, graph_components, graph_scc,
             graph_labels, graph_pagerank, graph_ppr, graph_pregel, graph_paths, graph_bfs, graph_triangles, graph_svd, graph_beliefs, batches, stratified_sample,
         )

@@ -60,6 +60,38 @@ def test_clustering_levels(spark):
     assert top.combine_cluster_iterations().columns == ["index_train", "cluster_id_0", "cluster_id_1", "cluster_id_2"]
 
 
+
+def brute_levels(points, threshold, rounds=10):
+    now, at, history = {i: (v, 1.0) for i, v in points.items()}, {i: i for i in points}, [{i: i for i in points}]
+    for _ in range(rounds):
+        group = {i: i for i in now}
+        for a in sorted(now):
+            for b in sorted(now):
+                (x, m), (y, n) = now[a], now[b]
+                if a < b and group[a] != group[b] and np.linalg.norm(x - y) * 2 * min(m, n) / (m + n) <= threshold:
+                    low, high = sorted((group[a], group[b]))
+                    group = {k: low if g == high else g for k, g in group.items()}
+        if all(k == g for k, g in group.items()):
+            break
+        parts = {g: [now[k] for k in now if group[k] == g] for g in set(group.values())}
+        now = {g: (np.mean([v for v, _ in p], axis=0), sum(w for _, w in p)) for g, p in parts.items()}
+        at = {i: group[g] for i, g in at.items()}
+        history.append(at)
+    return history
+
+
+def test_cluster_history_merges_past_the_first_round(spark, tmp_path):
+    from loomspark.plans.catalog import queries
+
+    x = [0.0, 0.6, 1.9, 4.0, 4.2, 9.0, 10.0, 11.7, 20.0]
+    points = {i: np.r_[v, np.zeros(63)] for i, v in enumerate(x)}
+    rows = [(i, v.tolist(), 0) for i, v in points.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = brute_levels(points, 1.1)
+    got = {r.index_train: list(r)[1:] for r in queries()["cluster_history"](spark, str(tmp_path)).collect()}
+    assert len(want) > 2 and got == {i: [level[i] for level in want] for i in points}
+
+
 def test_quality_golden(spark):
     df = spark.createDataFrame([(1.0, 2.0, 0), (1.1, 2.1, 0), (5.0, 6.0, 1), (5.1, 6.1, 1)], "x double, y double, cluster int")
     centroids = spark.createDataFrame([(0, 1.05, 2.05), (1, 5.05, 6.05)], "cluster int, x double, y double")
