@@ -1,9 +1,12 @@
 """Consolidating pairwise matches into groups by seed-tree pruning.
 
-Every round, each vertex tells its neighbourhood of the smallest id in it. A vertex that is nobody's minimum drops out: it hangs in the
-propagation forest below the smallest minimum it was told of, and the minima it was told of stay linked through that one. The rest, a
-small part, goes into the next round. When no edge is left the remaining vertices are seeds, and their ids flow down the forest, the
-levels in reverse order of dropping out.
+In every round each vertex connects to the minimum of its neighbourhood, itself included. A vertex that is nobody's minimum drops out:
+it hangs in the propagation forest below the minimum it chose. Each link goes on as one link between the minima that its two ends chose,
+so there are never more links than at first, and the vertices left are those that some vertex chose. Without links what is left are the
+seeds, and their ids flow down the forest, the rounds in reverse order.
+
+What is a minimum is decided in each round by another permutation of the ids. In the order of the ids themselves, a chain of consecutive
+ids would lose one vertex in a round; in a random order about half of a chain's vertices are no one's minimum, whatever their ids.
 """
 
 from __future__ import annotations
@@ -13,47 +16,71 @@ from pyspark.sql import functions as F
 
 from loomspark.session import Workspace
 
+_LOW = 0xFFFFFFFF
+
+
+def _halves(x: str) -> tuple[str, str]:
+    return f"shiftrightunsigned({x}, 32)", f"({x} & {_LOW}L)"
+
+
+def _turned(half: str, turn: int, step: int) -> str:
+    # a string, unlike a number, is no part of the generated code, so all rounds share what was compiled for the first
+    return f"(xxhash64({half}, '{turn} {step}') & {_LOW}L)"
+
+
+def mixed(x: str, turn: int) -> str:
+    """The place of a 64-bit id in the permutation of a round, as SQL: three steps of a Feistel network, so no two ids share a place."""
+    high, low = _halves(x)
+    for step in range(3):
+        high, low = low, f"({high} ^ {_turned(low, turn, step)})"
+    return f"(shiftleft({high}, 32) | {low})"
+
+
+def unmixed(x: str, turn: int) -> str:
+    """The id at a place of the permutation."""
+    high, low = _halves(x)
+    for step in reversed(range(3)):
+        high, low = f"({low} ^ {_turned(high, turn, step)})", high
+    return f"(shiftleft({high}, 32) | {low})"
+
 
-def consolidate(pairs: DataFrame, a: str = "id_a", b: str = "id_b", *, max_rounds: int = 200) -> DataFrame:
+def consolidate(pairs: DataFrame, a: str = "id_a", b: str = "id_b", *, max_rounds: int = 200, log: list[int] | None = None) -> DataFrame:
     """One row (id, group_id) for each id of ``pairs``; group_id is the smallest id reachable over the pairs.
 
-    Pairs are undirected. Rows with a null id are left out, and so are self-pairs: an id that occurs in nothing else is in no row.
-    Repeated and reversed pairs count once; an empty table gives no rows; other columns are ignored.
+    Pairs are undirected and their ids are whole numbers (of at most 64 bits). Rows with a null id are left out, and so are self-pairs:
+    an id that occurs in nothing else is in no row. Repeated and reversed pairs count once; an empty table gives no rows; other columns
+    are ignored. ``log``, if given, receives the number of links at the start of every round.
     """
-    spark = pairs.sparkSession
-    ws = Workspace(spark)
-    x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-    links = pairs.select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"), (x.isNotNull() & y.isNotNull() & (x != y)).alias("ok")).where("ok").select("u", "v").distinct()
-    links = ws.keep(links, "links")
+    ws = Workspace(pairs.sparkSession)
+    x, y = F.col(f"`{a}`").cast("long"), F.col(f"`{b}`").cast("long")
+    ends = pairs.select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"), (x.isNotNull() & y.isNotNull() & (x != y)).alias("ok"))
+    links = ws.keep(ends.where("ok").select("u", "v").distinct(), "links")
     forest: list[DataFrame] = []
-    seeds: list[DataFrame] = []
-    spent: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if links.isEmpty():
-            break
-        both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # told: (vertex, a minimum it was told of), itself included
-        told = ws.keep(both.join(least, "u").select(F.col("v").alias("u"), "m").unionByName(least).distinct(), "told")
-        best = told.groupBy("u").agg(F.min("m").alias("p"), F.max((F.col("m") == F.col("u")).cast("int")).alias("stays"), F.count("*").alias("n"))
-        best = ws.keep(best, "best")
-        newer = told.join(best.select("u", "p"), "u").where("m <> p").select(F.least("m", "p").alias("u"), F.greatest("m", "p").alias("v")).distinct()
-        newer = ws.keep(newer, "links")
-        forest.append(best.where("stays = 0").select(F.col("u").alias("id"), F.col("p").alias("parent")))
-        # a vertex that stays and is in no further link has its whole group below it
-        alive = newer.select("u").unionByName(newer.select(F.col("v").alias("u"))).distinct()
-        seeds.append(best.where("stays = 1").join(alive, "u", "left_anti").select(F.col("u").alias("id"), F.col("u").alias("group_id")))
-        ws.drop(told)
-        spent.append(links)
-        links = newer
-    else:
-        raise RuntimeError(f"links are left after {max_rounds} rounds")
+    while n := links.count():
+        if log is not None:
+            log.append(n)
+        turn = len(forest)
+        if turn == max_rounds:
+            raise RuntimeError(f"{n} links are left after {max_rounds} rounds")
+        both = links.selectExpr("u", f"{mixed('v', turn)} AS x").union(links.selectExpr("v", f"{mixed('u', turn)} AS x"))
+        chosen = both.groupBy("u").agg(F.min("x").alias("x")).selectExpr("u", f"least(x, {mixed('u', turn)}) AS x")
+        forest.append(ws.keep(chosen.selectExpr("u", f"{unmixed('x', turn)} AS m"), "forest"))
+        p, q = forest[-1].selectExpr("u", "m AS p"), forest[-1].selectExpr("u AS v", "m AS q")
+        fewer = links.join(p, "u").join(q, "v").where("p <> q").selectExpr("least(p, q) AS u", "greatest(p, q) AS v").distinct()
+        fewer = ws.keep(fewer, "links")
+        ws.drop(links)
+        links = fewer
     if not forest:
-        return links.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
+        return links.selectExpr("u AS id", "v AS group_id")
     named = None
-    for dropped, ended in zip(reversed(forest), reversed(seeds)):
-        known = ended if named is None else named.unionByName(ended)
-        flowed = dropped.join(known.select(F.col("id").alias("parent"), "group_id"), "parent").select("id", "group_id")
-        named = ws.keep(known.unionByName(flowed), "named")
-    ws.drop(*spent)
-    return named
+    for level in reversed(forest):
+        # a minimum that no further round has is a seed
+        if named is None:
+            flowed = level.selectExpr("u AS id", "m AS seed")
+        else:
+            flowed = level.join(named.selectExpr("id AS m", "seed"), "m", "left").selectExpr("u AS id", "coalesce(seed, m) AS seed")
+        flowed = ws.keep(flowed, "named")
+        ws.drop(named, level)
+        named = flowed
+    least = named.groupBy("seed").agg(F.min("id").alias("group_id"))
+    return named.join(least, "seed").select("id", "group_id")

@@ -60,6 +60,19 @@ def test_links(spark):
     assert consolidate(spark.createDataFrame([], "id_a long, id_b long")).count() == 0
 
 
+def test_links_of_long_chains_never_grow(spark):
+    n = 100_000
+    at = spark.range(n - 1)
+    ordered = at.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))
+    back = at.select((3 * n - F.col("id")).alias("id_a"), (3 * n - 1 - F.col("id")).alias("id_b"))
+    place = lambda c: (c * 7919 + 13) % 100_003 + 10 * n
+    shuffled = at.select(place(F.col("id")).alias("id_a"), place(F.col("id") + 1).alias("id_b"))
+    log = []
+    got = consolidate(ordered.unionByName(back).unionByName(shuffled), log=log).groupBy("group_id").count().collect()
+    assert sorted((r.group_id, r["count"]) for r in got) == [(0, n), (2 * n + 1, n), (10 * n, n)]
+    assert log[0] == 3 * (n - 1) and all(b < 0.75 * a + 20 for a, b in zip(log, log[1:])) and len(log) < 30
+
+
 def test_nearest_vectors_recall(spark):
     rng = np.random.RandomState(3)
     centres = rng.randn(20, 32) * 4
