@@ -44,20 +44,31 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(pairs)
 
 
-def p5_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomspark.llm.subset import varied_subset
-
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _table(spark, sf_dir, "lshp_points")
     cell = F.concat_ws("|", *(F.round(F.col(f"x{k}") * 2).cast("int") for k in range(1, 16)))
     hint = F.when((F.col("weight") > 0) & (F.col("weight") <= 1), F.col("weight")).otherwise(0.0)
-    records = points.select(
+    return points.select(
         "point_id",
         F.regexp_replace("bucket_key", r"\s+", "").alias("bucket"),
         F.concat_ws("|", "bins_1").alias("wide"),
         cell.alias("cell"),
         (0.75 + 0.25 * hint).alias("mass"),
     )
-    return varied_subset(records, 5000, id="point_id", features=["bucket", "wide", "cell"], mass="mass")
+
+
+def p5_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the points."""
+    from loomspark.llm.subset import varied_subset
+
+    return varied_subset(_points(spark, sf_dir), share=0.1, id="point_id", features=["bucket", "wide", "cell"], mass="mass")
+
+
+def p5_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5,000 points, whatever the table's size."""
+    from loomspark.llm.subset import varied_subset
+
+    return varied_subset(_points(spark, sf_dir), 5000, id="point_id", features=["bucket", "wide", "cell"], mass="mass")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +90,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_subset": p5_subset, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_subset": p5_subset, "p5_fixed": p5_fixed, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
 
 
 SQL = {

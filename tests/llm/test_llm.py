@@ -141,15 +141,46 @@ def test_least_jaccard_bounds_the_similarity():
 def test_varied_subset(spark):
     rows = [(i, "big", i) for i in range(900)] + [(1000 + i, f"s{i % 30}", i) for i in range(90)] + [(None, "x", 1), (5, "big", 5), (2000, None, None)]
     df = spark.createDataFrame(rows, "id long, bucket string, cell int").withColumn("m", F.when(F.col("id") == 3, NAN).when(F.col("id") == 4, -1.0))
-    got = varied_subset(df, 40, id="id", features=["bucket"], mass="m")
+    log = []
+    got = varied_subset(df, 40, id="id", features=["bucket"], mass="m", log=log)
     chosen = df.dropDuplicates(["id"]).join(got, "id").groupBy("bucket").count().collect()
     count = {r.bucket: r["count"] for r in chosen}
     assert sum(count.values()) == 40 and len(count) == 31 and max(count.values()) <= 3
-    assert {r.id for r in got.collect()} == {r.id for r in varied_subset(df, 40, id="id", features=["bucket"], mass="m", shards=4).collect()}
-    assert varied_subset(df, 5000, id="id", features=["bucket", "cell"]).count() == 991
+    # the first round takes one of each bucket; the gains of a second one are lower by a factor of 2 ** 0.5 - 1
+    assert [x["added"] for x in log][0] == 31 and len(log) >= 2
+    assert all(b["threshold"] < a["threshold"] for a, b in zip(log, log[1:])) and sum(x["added"] for x in log) == 40
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    again = varied_subset(df.repartition(5), 40, id="id", features=["bucket"], mass="m").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.id for r in got.collect()} == {r.id for r in again} and all(r.gain > 0 for r in again)
+    assert varied_subset(df, share=1.0, id="id", features=["bucket", "cell"]).count() == 991
     assert varied_subset(df.limit(0), 5, id="id", features=["bucket"]).count() == 0
 
 
+def test_varied_subset_against_greedy(spark, monkeypatch):
+    """Rounds over cut lists come close to taking the best record each time."""
+    monkeypatch.setattr("loomspark.llm.subset.PART_ROWS", 100)
+    monkeypatch.setattr("loomspark.llm.subset.CUT_ROWS", 10)
+    rng = random.Random(6)
+    rows = [(i, rng.choice("aaaab") + "x" * (rng.random() < 0.1), rng.randint(0, 60), rng.choice([0.5, 1.0])) for i in range(800)]
+    got = varied_subset(spark.createDataFrame(rows, "id long, a string, b int, m double"), 100, features=["a", "b"], mass="m")
+
+    def chosen(order):
+        """The worth of the ids in order, or of the best one each time."""
+        mass, worth, left = {}, 0.0, set(range(800))
+        gain = lambda i: sum((mass.get(f, 0.0) + rows[i][3]) ** 0.5 - mass.get(f, 0.0) ** 0.5 for f in (rows[i][1], rows[i][2]))
+        for i in order or range(100):
+            i = i if order else max(left, key=gain)
+            worth += gain(i)
+            left.discard(i)
+            for f in (rows[i][1], rows[i][2]):
+                mass[f] = mass.get(f, 0.0) + rows[i][3]
+        return worth
+
+    ids = [r.id for r in got.collect()]
+    assert len(set(ids)) == 100 and chosen(ids) >= 0.95 * chosen(None)
+
+
 def test_packing(spark):
     assert len(complete([6, 5, 5, 4, 4, 3, 3, 3, 3], 12)) == 3 and len(best_fit([6, 5, 5, 4, 4, 3, 3, 3, 3], 12)) >= 3
     for seed in range(5):
