@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
@@ -143,6 +144,12 @@ class Workspace:
                 delete_path(self.spark, path)
 
 
+    def sweep(self) -> None:
+        """Let go of the shuffle files of plans that are over: Spark deletes them once the driver has collected the plans. For loops of large shuffles."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
