@@ -1,12 +1,17 @@
 """Template residue and error-page text, by character n-gram models.
 
-Small models are fitted on seed texts: filler, pseudo-Latin filler, error messages and dumps, and notices that scripts are required;
-another one holds sentences of people who mention such things. What the n-grams of these models are worth as evidence is decided
-by the corpus itself: natural prose is the n-gram counts over all documents, without the windows that would be residue if no n-gram of
-the seed texts stood in prose. A notice is one of these however often it occurs, so its copies don't make it prose. A text's windows are
-its units (sentences and lines) and every stretch of WINDOW characters; a window is residue if the mean log-likelihood ratio of its n-grams reaches THRESHOLD for a residue
-model and is above that of the mention model. Template fields are found by their delimiters and judged by what stands between them. A
-document's coverage is the part of its characters that lies in residue windows.
+Models are fitted on seed texts: filler, pseudo-Latin filler, error messages and dumps, and notices that scripts are required; another
+one on sentences of people who mention such things (``phrases.py``: public standard messages, and phrases made by rule). Natural prose is
+the n-gram counts over all documents, without the windows that would be residue if no n-gram of the seed texts stood in prose; a notice
+is one of these however often it occurs, so its copies don't make it prose. An n-gram is worth its log-likelihood ratio against prose;
+one that a model hasn't seen falls back on its parts of length BACK.
+
+A text is screened by the largest evidence of any stretch of it, for a batch of texts at once. In those that have it, the windows are
+the text's units (sentences and lines) and every stretch of WINDOW characters; a window is residue if its mean ratio reaches THRESHOLD
+for a residue model and is above that of the mention model. Template fields are found by delimiters that mirror each other. Which names
+stand for fields is learned from the corpus: those between delimiters of two and more signs, {{name}} and the like. Between single signs
+a name counts if it is one of these, a standard field name, or several words joined by signs. A document's coverage is the part of its
+characters that lies in residue windows and fields.
 """
 
 from __future__ import annotations
@@ -20,148 +25,150 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Length of an n-gram; characters of a window; mean log-likelihood ratio per n-gram from which a window is residue.
-N, WINDOW, THRESHOLD = 5, 60, 1.0
-#: A unit needs this much evidence in all, and, if it has fewer than SHORT n-grams, that mean.
+from loomspark.llm.phrases import FIELD_NAMES, seed_texts
+from loomspark.session import Workspace
+
+#: Length of an n-gram and of those it falls back on; characters of a window; mean log-likelihood ratio from which a window is residue.
+N, BACK, WINDOW, THRESHOLD = 5, 3, 60, 1.0
+#: A unit needs this much evidence in all, and, if it has fewer than SHORT n-grams, that mean (and mostly n-grams of the model's own).
 EVIDENCE, SHORT, SHORT_MEAN = 15.0, 20, 2.0
-#: Largest evidence of one n-gram, and that of one that a residue model has not seen.
-MOST, UNSEEN = 6.0, -4.0
-
-# Seed texts of the models. Digits are read as 0 and case is folded, so neither matters.
-LOREM = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim "
-    "veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit "
-    "esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-).split()
-FILLER = [
-    "placeholder body", "placeholder text", "dummy content 0 0 0", "dummy text", "sample text, please replace", "todo write review",
-    "todo: add text", "review text goes here", "your text here", "your headline here", "your review here", "to be filled by moderator",
-    "insert text here", "blindtext", "platzhalter", "hier steht ihr text", "beispieltext bitte ersetzen", "votre avis ici", "votre texte ici",
-    "texte à remplacer", "faux texte", "texto de ejemplo", "escriba aquí su texto", "texto de relleno", "asdf asdf asdf jkl", "qwerty qwerty uiop",
-    "test test test", "xxx xxx xxx", "foo bar baz", "lorem ipsum dolor sit amet",
-]
-ERROR = [
-    "[object object]", "undefined undefined nan", "undefined", "null null null", "nan nan", "traceback (most recent call last):",
-    "file \"/srv/shop/view_0.py\", line 0, in render", "keyerror: 'body'", "typeerror: cannot read properties of undefined",
-    "java.lang.nullpointerexception", "at shop.review.render0.draw(render0.java:0)", "exception in thread \"main\"", "stack trace:",
-    "warning: undefined variable $body in /var/app/tpl_0.php on line 0", "fatal error: uncaught exception in", "ora-0: statement failed near review_0",
-    "sql syntax error near", "unexpected token < at position 0", "{\"status\": 0, \"error\": \"render failed\", \"trace\": \"0-0\"}", "segmentation fault (core dumped)",
-    "<html><head><title>0 error</title></head><body>upstream gave no answer, id 0</body></html>", "http error 0", "error 0", "0 error", "0 not found",
-    "0 bad gateway", "0 internal server error", "internal server error", "0 service unavailable", "0 gateway timeout",
-    "0 forbidden - you lack permission to view this resource", "access denied", "permission denied", "error establishing a database connection",
-    "the page you asked for does not exist", "page not found", "this content is currently unavailable", "failed to load review",
-    "failed to load content", "your session has ended, please sign in again", "we are down for maintenance, back in 0 minutes",
-    "too many requests, slow down", "request timed out", "try again in a moment", "please try again later", "oops! something went wrong on our side",
-    "oops!", "something went wrong", "an error occurred", "incident no. 0", "incident no", "retry", "reference 0", "seite nicht gefunden (0)",
-    "interner serverfehler", "ein fehler ist aufgetreten", "bitte später erneut versuchen", "zugriff verweigert", "vorgang 0",
-    "ihre sitzung ist abgelaufen, bitte neu anmelden", "wartungsarbeiten, wir sind in 0 minuten zurück", "dieser inhalt ist derzeit nicht verfügbar",
-    "page introuvable - erreur 0", "erreur interne du serveur", "une erreur est survenue", "veuillez réessayer plus tard", "accès refusé",
-    "votre session a expiré, reconnectez-vous", "site en maintenance, retour dans 0 minutes", "contenu indisponible pour le moment", "référence 0",
-    "página no encontrada (0)", "error interno del servidor", "se ha producido un error", "inténtelo de nuevo más tarde", "acceso denegado",
-    "su sesión ha caducado, vuelva a entrar", "sitio en mantenimiento, volvemos en 0 minutos", "contenido no disponible en este momento", "referencia 0", "caso 0",
-]
-SCRIPT = [
-    "please enable javascript to view this page", "javascript is disabled in your browser", "turn it on and reload", "this site requires scripts and cookies to work",
-    "you need to allow scripts to read reviews", "your browser does not run the scripts needed for comments", "to continue, switch on java script in the settings",
-    "noscript: content cannot be shown", "checking your browser before continuing", "scripts must be active", "<noscript>javascript is disabled in your browser",
-    "turn it on and reload.</noscript>", "bitte aktivieren sie javascript, um diese seite zu sehen", "diese seite benötigt javascript und cookies",
-    "skripte sind in ihrem browser abgeschaltet", "veuillez activer javascript pour afficher cette page", "ce site a besoin de javascript et des cookies",
-    "les scripts sont désactivés dans votre navigateur", "active javascript para ver esta página", "este sitio necesita javascript y cookies",
-    "los scripts están desactivados en su navegador", "enable cookies and scripts to continue",
-]
-FIELDS = [
-    "name", "first_name", "last_name", "firstname", "username", "user.nick", "user.name", "nick", "product", "product_name", "item", "item.title", "title",
-    "brand", "model", "size", "colour", "color", "city", "country", "address", "email", "phone", "store", "shop", "customer", "customer_name", "reviewer",
-    "author", "order_no", "order_id", "order", "delivery_date", "date", "price", "rating_text", "rating", "review", "text", "body", "content", "company", "url", "link",
-]
-MENTION = [
-    "the mug has lorem ipsum printed on it as a joke", "the shop page told me to enable javascript and i had to borrow a laptop",
-    "as a web developer i test pages without scripts, and this tablet copes", "their template kit let me write {{name}} in my letters and it just worked",
-    "the companion app showed error 0 until i reset the hub", "the display once read error 0 and then went back to normal",
-    "the internal server in this box hums, no error though", "my router says access denied unless i press the dial twice",
-    "customer support answered my ticket 0[0]0 within hours, not found anywhere else", "i ordered the {large} one by mistake :)",
-    "im shop musste ich javascript einschalten, das nervt", "auf der tasse steht blindtext, sehr witzig", "die app meldete einmal fehler 0, danach lief alles",
-    "le site demandait javascript, un peu pénible", "l'appli affichait erreur 0 avant la mise à jour", "la tienda pedía javascript, qué pesado",
-    "la aplicación mostró el error 0 y luego funcionó", "i give it [0 out of 0] so far", "von mir [0 von 0] punkten", "le doy [0 de 0] por ahora", "je mets [0 sur 0] pour le moment",
-]
+#: Largest evidence of one n-gram; what falling back costs, and the least and most that it may say.
+MOST, BACK_COST, BACK_LEAST, BACK_MOST = 6.0, 0.5, -4.0, 1.5
+#: Part of a unit's n-grams, or of a window's, that must be seed n-grams for it not to count as prose, and of a short unit's that must be the model's own.
+SEEDED, OWN = 0.75, 0.65
+#: Natural prose starts as PRIOR n-grams of which each kind is a part RARE, so a small corpus is judged like a large one.
+PRIOR, RARE = 1e5, 1e-6
+#: Places of the table of short n-grams.
+PLACES = 1 << 16
 
 CLASSES = ("filler", "latin", "error", "script", "mention")
-#: Template fields: delimiters that hardly occur otherwise, those that need a field name between them, and slots without a name.
-_SURE = regex.compile(r"\{\{\s*([\w.]{1,40})\s*\}\}|\[\[\s*([\w.]{1,40})\s*\]\]|\$\{\s*([\w.]{1,40})\s*\}|<%=?\s*([\w.]{1,40})\s*%>|\{%[^{}%]{1,80}%\}|@@([\w.]{1,40})@@|%\(([\w.]{1,40})\)s|\[(?:insert|enter|add|your)\s[^\[\]]{1,40}\]", regex.I)
-_NAMED = regex.compile(r"\{([\w.]{1,40})\}|\[([\w.]{1,40})\]|<([\w.]{1,40})>|&lt;([\w.]{1,40})&gt;|%([\w.]{1,40})%|#([\w.]{1,40})#|\$([\w.]{1,40})\$|__([\w.]{1,40}?)__", regex.I)
-_SLOT = regex.compile(r"(?<![\w%])%[sd](?!\w)|\{\d\}")
+_SIGNS = r"\[\](){}<>%$#@_~^|*="
+#: An identifier, or a few words, between signs that mirror each other.
+_PAIRED = regex.compile(rf"(?<![{_SIGNS}\w])(&lt;|[{_SIGNS}]{{1,3}})\s?([\p{{L}}][\w.\- ]{{0,38}}?)\s?(&gt;|\)s|[{_SIGNS}]{{1,3}})(?![{_SIGNS}\w])")
+#: What asks to be filled in, in brackets; slots without a name; statements of template languages.
+_ASKED = regex.compile(r"[\[<{(]\s?(?:(?:insert|enter|add|type|your|todo|placeholder|tbd|hier|bitte|ihr|ihre|insérez|saisissez|votre|inserte|escriba|su)\s[^\[\]<>{}()]{1,60}|[^\[\]<>{}()]{1,60}\s(?:here|einfügen|eingeben|ici|aquí))\s?[\]>})]", regex.I)
+_SLOT = regex.compile(r"(?<![\w%])%[sd](?!\w)|\{\d\}|\{%[^{}%]{1,300}%\}|<%[^<>%]{1,300}%>")
+# Words of people who talk about templates.
+_META = regex.compile(r"template|placeholder|variable|mail.?merge|syntax|vorlage|platzhalter|serienbrief|publipostage|plantilla|segnaposto", regex.I)
+_MIRROR = str.maketrans("[({<", "])}>")
+_SEPARATORS = regex.compile(r"[\s_.\-]+")
 _UNIT = regex.compile(r"(?<=[.!?…])[\s\"']+|\s*\n+\s*|\s+\.\.\.\s+|\s+[-–|]\s+(?=\S)")
 _UNSEEN = regex.compile(r"\p{Cf}+")
 _DIGITS = regex.compile(r"\d+")
 _SPACE = regex.compile(r"\s+")
+_LINES = regex.compile(r"[^\S\n]*\n\s*|[^\S\n]+")
 
 
-def _codes(text: str) -> np.ndarray:
+def _plain(text: str) -> str:
     if not text.isascii():
         text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
-    return np.frombuffer(f" {_SPACE.sub(' ', _DIGITS.sub('0', text.lower()))} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    return _DIGITS.sub("0", text.lower())
 
 
-def _grams(text: str) -> np.ndarray:
-    """A number for each n-gram of a text, in order."""
-    return _hashes(_codes(text))
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(f" {_SPACE.sub(' ', _plain(text))} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
 
 
-def _hashes(c: np.ndarray) -> np.ndarray:
-    if len(c) < N:
+def _hashes(c: np.ndarray, n: int) -> np.ndarray:
+    """A number for each n-gram of a text, in order."""
+    if len(c) < n:
         return np.zeros(0, dtype=np.uint64)
-    h = np.zeros(len(c) - N + 1, dtype=np.uint64)
+    h = np.zeros(len(c) - n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(N):
+        for k in range(n):
             h = (h ^ c[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
     return h
 
 
-def seed_texts() -> dict[str, list[str]]:
-    pairs = [f"{a} {b}" for a in LOREM for b in LOREM]
-    return {"filler": FILLER, "latin": pairs, "error": ERROR, "script": SCRIPT, "mention": MENTION}
-
-
 class Models:
     """The n-grams of the seed texts, and for each class what each is worth."""
 
-    def __init__(self):
-        seen = {c: [np.concatenate([_grams(t) for t in texts])] for c, texts in seed_texts().items()}
-        self.grams = np.unique(np.concatenate([x for parts in seen.values() for x in parts]))
-        self.counts = np.zeros((len(CLASSES), len(self.grams)))
-        for k, c in enumerate(CLASSES):
-            np.add.at(self.counts[k], np.searchsorted(self.grams, seen[c][0]), 1)
+    def __init__(self, seeds: dict[str, list[str]] | None = None):
+        codes = {c: [_codes(t) for t in texts] for c, texts in (seeds or seed_texts()).items()}
+        long = {c: np.unique(np.concatenate([_hashes(x, N) for x in codes[c]])) for c in CLASSES}
+        self.grams = np.unique(np.concatenate(list(long.values())))
         # each distinct n-gram of a class once: a class is a set of phrases, not a sample of their frequencies
-        self.counts = (self.counts > 0).astype(float)
+        self.counts = np.array([np.isin(self.grams, long[c]) for c in CLASSES], dtype=float)
+        self.short = np.zeros((len(CLASSES), PLACES))
+        for k, c in enumerate(CLASSES):
+            short = np.unique(np.concatenate([_hashes(x, BACK) for x in codes[c]]))
+            np.add.at(self.short[k], (short & np.uint64(PLACES - 1)).astype(np.int64), 1)
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[(self.grams & np.uint64(len(self.maybe) - 1)).astype(np.int64)] = True
         self.seeds = np.r_[(self.counts[:-1] > 0).any(axis=0), False]
-        self.fit(np.zeros(len(self.grams)), 0)
+        self.fit(np.zeros(len(self.grams)), np.zeros(PLACES), 0)
 
     def places(self, grams: np.ndarray) -> np.ndarray:
         """The n-grams' numbers, one past the last for those of no class."""
-        at = np.searchsorted(self.grams, grams)
-        return np.where(self.grams[np.minimum(at, len(self.grams) - 1)] == grams, np.minimum(at, len(self.grams) - 1), len(self.grams))
-
-    def fit(self, natural: np.ndarray, total: int) -> None:
-        """natural: how often each n-gram stands in natural prose, of ``total`` n-grams in all. With none, every seed n-gram is worth MOST."""
-        own = self.counts / np.maximum(1, self.counts.sum(axis=1, keepdims=True))
-        prose = (natural + 0.5) / (total + 1.0)
+        out = np.full(len(grams), len(self.grams))
+        some = np.flatnonzero(self.maybe[(grams & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.grams, grams[some]), len(self.grams) - 1)
+        out[some] = np.where(self.grams[at] == grams[some], at, len(self.grams))
+        return out
+
+    def fit(self, natural: np.ndarray, short: np.ndarray, total: int) -> None:
+        """natural, short: how often each n-gram, and each place of short ones, stands in natural prose of ``total`` n-grams. With none, every seed n-gram is worth MOST and any other nothing."""
+        size = self.counts.sum(axis=1, keepdims=True)
+        size[-1] = size.max()  # the few mention seeds don't win by their number
+        own = self.counts / np.maximum(1, size)
+        prose = (natural + PRIOR * RARE) / (total + PRIOR)
         with np.errstate(divide="ignore"):
             ratio = np.clip(np.log(own / prose), -MOST, MOST) if total else np.full_like(own, MOST)
-        self.worth = np.c_[np.where(self.counts > 0, ratio, UNSEEN), np.full(len(CLASSES), UNSEEN)]
-
-    def judge(self, text: str) -> tuple[int, set[str]]:
-        """Characters of a text that lie in residue windows, and the kinds of residue."""
-        covered, kinds = np.zeros(len(text), dtype=bool), set()
-        for a, b in _fields(text):
-            about = self._scores(text[max(0, a - 45) : b + 30])
-            if about is None or about[-1] < THRESHOLD:
+            part = (self.short + 0.2) / (self.short.sum(axis=1, keepdims=True) + 0.2 * PLACES)
+            back = np.clip(np.log(part / ((short + 0.2) / (total + 0.2 * PLACES))) - BACK_COST, BACK_LEAST, BACK_MOST) if total else np.full_like(part, BACK_LEAST)
+        self.worth = np.c_[np.where(self.counts > 0, ratio, -np.inf), np.full(len(CLASSES), -np.inf)].astype(np.float32)
+        self.back = back.astype(np.float32)
+        # of the residue models the best, to screen with
+        self.best, self.best_back = self.worth[:-1].max(axis=0), self.back[:-1].max(axis=0)
+
+    def _worth(self, codes: np.ndarray) -> np.ndarray:
+        """What each n-gram of a text is worth for each class."""
+        if len(codes) < N:
+            return np.zeros((len(CLASSES), 0), dtype=np.float32)
+        at = self.places(_hashes(codes, N))
+        worth = self.worth[:, at]
+        return np.where(np.isneginf(worth), self._fallen(codes, self.back, len(at)), worth)
+
+    @staticmethod
+    def _fallen(codes: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
+        """The mean of the parts that an n-gram falls back on."""
+        part = back[..., (_hashes(codes, BACK) & np.uint64(PLACES - 1)).astype(np.int64)]
+        return sum(part[..., k : k + n] for k in range(N - BACK + 1)) / (N - BACK + 1)
+
+    def screened(self, texts: list[str]) -> np.ndarray:
+        """Which texts have a stretch with the evidence that a window needs."""
+        codes = [_codes(t) for t in texts]
+        joined = np.concatenate(codes)
+        ends = np.cumsum([len(c) for c in codes])
+        if len(joined) < N:
+            return np.zeros(len(texts), dtype=bool)
+        at = self.places(_hashes(joined, N))
+        worth = self.best[at].astype(float)
+        none = np.isneginf(worth)
+        worth[none] = self._fallen(joined, self.best_back, len(at))[none]
+        # an n-gram over the border of two texts ends every stretch
+        for k in range(1, N):
+            worth[np.minimum(ends[:-1] - k, len(worth) - 1)] = -1e5
+        sums = np.r_[0.0, np.cumsum(worth)]
+        rise = np.maximum(sums[1:] - np.minimum.accumulate(sums)[:-1], 0)
+        starts = np.minimum(np.r_[0, ends[:-1]], len(rise) - 1)
+        return np.maximum.reduceat(rise, starts) >= EVIDENCE
+
+    def judge(self, text: str, full: bool = True) -> tuple[int, set[str], list[tuple[str, int]]]:
+        """Characters of a text that lie in residue windows, the kinds of residue, and names in delimiters that may be fields, with their lengths. full: whether to look at more than fields."""
+        covered, kinds, unsure = np.zeros(len(text), dtype=bool), set(), []
+        for a, b, name in fields(text):
+            before, after = _UNIT.split(text[max(0, a - 200) : a])[-1], _UNIT.split(text[b : b + 200])[0]
+            if _META.search(before) or _META.search(after) or self._worth(_codes(f"{before}{text[a:b]}{after}"))[-1].mean() >= THRESHOLD:
+                continue
+            if name is None:
                 covered[a:b] = True
                 kinds.add("field")
-        if not self._any(text):
-            return int(covered.sum()), kinds
+            else:
+                unsure.append((name, b - a))
         start = 0
-        for m in [*_UNIT.finditer(text), None]:
+        for m in [*_UNIT.finditer(text), None] if full else []:
             end = m.start() if m else len(text)
             unit = text[start:end]
             if unit.strip():
@@ -169,123 +176,130 @@ class Models:
                     covered[start + a : start + b] = True
                     kinds.add("filler" if kind == "latin" else kind)
             start = m.end() if m else end
-        return int(covered.sum()), kinds
-
-    def prose(self, text: str) -> np.ndarray:
-        """The numbers of the n-grams of a text that count as natural prose while nothing is fitted: of all but its residue windows. Of
-        equal evidence for residue and for a mention, residue counts here. Few units have the seed n-grams that a window needs; the others
-        are counted at once."""
-        units = [u for u in _UNIT.split(text.replace("\0", " ")) if u.strip()]
-        codes = _codes(" \0 ".join(units))
-        if not units or len(codes) < N:
-            return np.zeros(0, dtype=np.int64)
-        at = self.places(_hashes(codes))
-        ends = np.r_[np.flatnonzero(codes == 0), len(codes)]
-        starts = np.r_[0, ends[:-1] + 1]
-        n = np.maximum(ends - starts - N + 1, 0)
-        seeds = np.r_[0, np.cumsum(self.seeds[at])]
-        least = (THRESHOLD - UNSEEN) / (MOST - UNSEEN)
-        maybe = (seeds[np.minimum(starts + n, len(at))] - seeds[np.minimum(starts, len(at))] >= least * n) & (n > 0)
-        if len(at) > WINDOW and (seeds[WINDOW:] - seeds[:-WINDOW]).max() >= least * WINDOW:
-            maybe |= n > WINDOW
-        out = [at[a : a + k] for a, k in zip(starts[~maybe].tolist(), n[~maybe].tolist())]
-        for k in np.flatnonzero(maybe).tolist():
-            start = 0
-            for a, b, _ in self._windows(units[k], ties=True):
-                out.append(self.places(_grams(units[k][start:a])))
-                start = b
-            out.append(self.places(_grams(units[k][start:])))
-        return np.concatenate(out)
-
-    def _any(self, text: str) -> bool:
-        """Whether any stretch of the text has the evidence that a window needs; most texts have none, and that is quickly seen."""
-        grams = _grams(text)
-        if not len(grams):
-            return False
-        sums = np.cumsum(np.c_[np.zeros(len(CLASSES) - 1), self.worth[:-1, self.places(grams)]], axis=1)
-        return bool((sums - np.minimum.accumulate(sums, axis=1)).max() >= EVIDENCE)
-
-    def _scores(self, text: str) -> np.ndarray | None:
-        grams = _grams(text)
-        return self.worth[:, self.places(grams)].mean(axis=1) if len(grams) else None
-
-    def _windows(self, unit: str, ties: bool = False) -> Iterator[tuple[int, int, str]]:
-        grams = _grams(unit)
-        if not len(grams):
-            return
-        at = self.places(grams)
-        if (at == len(self.grams)).all():
+        return int(covered.sum()), kinds, unsure
+
+    def prose(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the n-grams, and the places of the short ones, that count as natural prose while nothing is fitted: of all but the
+        stretches of WINDOW and the units whose seed n-grams would make them residue."""
+        joined = "\0".join(_LINES.sub(lambda m: "\n" if "\n" in m[0] else " ", _plain(t.replace("\0", " "))) for t in texts)
+        codes = np.frombuffer(f"\0{joined}\0".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        ends = np.isin(codes, np.array([ord(c) for c in "\0\n.!?…|"], dtype=np.uint64))
+        codes[codes == 10] = 32
+        if len(codes) < N:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        at = self.places(_hashes(codes, N))
+        seed = self.seeds[at].astype(np.int64)
+        unit = np.cumsum(ends)[: len(at)]
+        first = np.flatnonzero(np.r_[True, np.diff(unit) > 0])
+        size = np.diff(np.r_[first, len(at)])
+        left_out = np.repeat(np.add.reduceat(seed, first) >= SEEDED * np.maximum(size - N + 1, 1), size)
+        if len(at) > WINDOW:
+            sums = np.r_[0, np.cumsum(seed)]
+            hit = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] >= SEEDED * WINDOW)
+            marks = np.zeros(len(at) + 1, dtype=np.int64)
+            np.add.at(marks, hit, 1)
+            np.add.at(marks, np.minimum(hit + WINDOW, len(at)), -1)
+            left_out |= np.cumsum(marks[:-1]) > 0
+        keep = ~left_out & (codes[: len(at)] != 0)
+        return at[keep], (_hashes(codes, BACK)[: len(at)][keep] & np.uint64(PLACES - 1)).astype(np.int64)
+
+    def _windows(self, unit: str) -> Iterator[tuple[int, int, str]]:
+        if len(unit) < 2 * SHORT:
+            unit = unit.strip(" \t\n.!?…\"'*,;:-")
+        worth = self._worth(_codes(unit))
+        n = worth.shape[1]
+        if not n:
             return
-        worth = self.worth[:, at]
         mean = worth.mean(axis=1)
         best = int(mean[:-1].argmax())
-        if mean[best] >= (SHORT_MEAN if len(grams) < SHORT else THRESHOLD):
-            if (mean[best] > mean[-1] or ties and mean[best] == mean[-1]) and worth[best].sum() >= EVIDENCE:
+        if mean[best] >= (SHORT_MEAN if n < SHORT else THRESHOLD):
+            seeded = n >= SHORT or np.isfinite(self.worth[best, self.places(_hashes(_codes(unit), N))]).mean() >= OWN
+            if seeded and mean[best] > mean[-1] and worth[best].sum() >= EVIDENCE:
                 yield 0, len(unit), CLASSES[best]
             return
-        if mean[-1] >= THRESHOLD or len(grams) <= WINDOW:
+        if mean[-1] >= THRESHOLD or n <= WINDOW:
             return
         sums = np.cumsum(np.c_[np.zeros(len(CLASSES)), worth], axis=1)
         run = (sums[:, WINDOW:] - sums[:, :-WINDOW]) / WINDOW
         hit = np.flatnonzero((run[:-1].max(axis=0) >= THRESHOLD) & (run[-1] < run[:-1].max(axis=0)))
         if len(hit):
-            scale = len(unit) / len(grams)  # spaces and digits may have been joined
+            scale = len(unit) / n  # spaces and digits may have been joined
             yield int(hit[0] * scale), min(len(unit), int((hit[-1] + WINDOW) * scale) + 1), CLASSES[int(run[:-1, hit].max(axis=1).argmax())]
 
 
-def _fields(text: str) -> Iterator[tuple[int, int]]:
+def _key(name: str) -> str:
+    return _SEPARATORS.sub("", name.lower())
+
+
+def fields(text: str) -> Iterator[tuple[int, int, str | None]]:
+    """Places of template fields; with a name where it depends on the name whether it is one."""
     if not any(c in text for c in "{[<%#$@_&"):
         return
-    for m in _SURE.finditer(text):
-        yield m.span()
-    for m in _NAMED.finditer(text):
-        if next(g for g in m.groups() if g is not None).lower() in _FIELD_NAMES:
-            yield m.span()
-    for m in _SLOT.finditer(text):
-        yield m.span()
+    for pattern in (_ASKED, _SLOT):
+        for m in pattern.finditer(text):
+            yield *m.span(), None
+    for m in _PAIRED.finditer(text):
+        opening, name, closing = m.groups()
+        if closing == ("&gt;" if opening == "&lt;" else opening[::-1].translate(_MIRROR)) or (opening, closing) in (("%(", ")s"), ("${", "}"), ("#{", "}"), ("$(", ")")):
+            sure = (len(opening) > 1 and opening not in ("&lt;", "**", "***", "__", "~~", "((", "==")) and " " not in name
+            joined = any(c in name for c in "_.") and " " not in name and not name.endswith(".")
+            yield *m.span(), None if sure or joined or _key(name) in FIELD_NAMES and opening not in ("(", "*", "|") else name
 
 
-_FIELD_NAMES = frozenset(FIELDS)
+def _sure_names(text: str) -> Iterator[str]:
+    for m in _PAIRED.finditer(text) if any(c in text for c in "{[<%#$@") else ():
+        if len(m[1]) > 1 and m[1][0] in "{[<%#$@" and " " not in m[2]:
+            yield _key(m[2])
 
 
 def _count(models: Models):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = 0, np.zeros(len(models.grams) + 1, dtype=np.int64)
+        total, seen, short, names = 0, np.zeros(len(models.grams) + 1, dtype=np.int64), np.zeros(PLACES, dtype=np.int64), set()
         for batch in batches:
-            for text in batch["text"]:
-                at = models.prose(text)
+            for k in range(0, len(batch), 200):
+                texts = batch["text"].iloc[k : k + 200].tolist()
+                at, place = models.prose(texts)
                 total += len(at)
                 seen += np.bincount(at, minlength=len(seen))
-        some = np.flatnonzero(seen[:-1])
-        yield pd.DataFrame({"gram": np.r_[some, -1], "n": np.r_[seen[some], total]})
+                short += np.bincount(place, minlength=PLACES)
+                names.update(n for t in texts for n in _sure_names(t))
+        some, parts = np.flatnonzero(seen[:-1]), np.flatnonzero(short)
+        yield pd.DataFrame({"kind": "gram", "at": np.r_[some, -1], "n": np.r_[seen[some], total], "name": None})
+        yield pd.DataFrame({"kind": "part", "at": parts, "n": short[parts], "name": None})
+        if names:
+            yield pd.DataFrame({"kind": "name", "at": 0, "n": 1, "name": sorted(names)})
 
     return count
 
 
-def fit_models(documents: DataFrame, text: str = "text") -> Models:
-    """The models, with natural prose counted over all texts but their residue windows. One row for each n-gram of the seed texts comes to the driver."""
-    models = Models()
+def fit_models(documents: DataFrame, text: str = "text", models: Models | None = None) -> tuple[Models, DataFrame]:
+    """The models, with natural prose counted over all texts but their residue windows, and the field names (name) learned from them. One
+    row for each n-gram of the seed texts and each place of the short ones comes to the driver, whatever the number of texts; the names don't."""
+    models, ws = models or Models(), Workspace(documents.sparkSession)
     texts = documents.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    counted = texts.mapInPandas(_count(models), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()
-    natural, total = np.zeros(len(models.grams)), 0
-    for gram, n in counted:
-        if gram < 0:
+    counted = texts.mapInPandas(_count(models), "kind string, at int, n long, name string").groupBy("kind", "at", "name").agg(F.sum("n").alias("n"))
+    counted = ws.keep(counted, "counted")
+    natural, short, total = np.zeros(len(models.grams)), np.zeros(PLACES), 0
+    for kind, at, n in counted.where("kind <> 'name'").select("kind", "at", "n").toLocalIterator():
+        if at < 0:
             total = n
         else:
-            natural[gram] = n
-    models.fit(natural, total)
-    return models
+            (natural if kind == "gram" else short)[at] = n
+    models.fit(natural, short, total)
+    return models, counted.where("kind = 'name'").select("name").distinct()
 
 
 def _judged(models: Models):
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for d, text in zip(batch["doc"].tolist(), batch["text"]):
-                n, kinds = models.judge(text)
-                if n:
-                    out.append((d, n / len(text), sorted(kinds)))
-            yield pd.DataFrame(out, columns=["doc", "coverage", "kinds"])
+            for k in range(0, len(batch), 200):
+                part, out = batch.iloc[k : k + 200], []
+                texts = part["text"].tolist()
+                for d, text, full in zip(part["doc"].tolist(), texts, models.screened(texts)):
+                    n, kinds, unsure = models.judge(text, full)
+                    if n or unsure:
+                        out.append((d, n, len(text), sorted(kinds), [_key(u) for u, _ in unsure], [c for _, c in unsure]))
+                yield pd.DataFrame(out, columns=["doc", "n", "length", "kinds", "names", "lengths"])
 
     return judge
 
@@ -293,12 +307,19 @@ def _judged(models: Models):
 def residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", models: Models | None = None) -> DataFrame:
     """(doc_id, coverage, kinds): the documents that hold residue, the part of their characters that is, and its kinds (filler, error,
     script, field). Null, empty and blank texts and null ids are in no row; a document that occurs several times is in one, with its
-    largest coverage. Other columns are ignored."""
-    models = models or fit_models(documents, text)
+    largest coverage. Other columns are ignored. ``models``: seed models of one's own, fitted here."""
+    ws = Workspace(documents.sparkSession)
+    models, names = fit_models(documents, text, models)
     docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    found = docs.mapInPandas(_judged(models), "doc long, coverage double, kinds array<string>")
-    out = found.groupBy("doc").agg(F.max("coverage").alias("coverage"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
-    return out.withColumnRenamed("doc", doc_id)
+    found = ws.keep(docs.mapInPandas(_judged(models), "doc long, n long, length long, kinds array<string>, names array<string>, lengths array<long>"), "judged")
+    sure = found.where("n > 0").select("doc", "n", "length", F.explode("kinds").alias("kind"))
+    unsure = found.select("doc", "length", F.explode(F.arrays_zip("names", "lengths")).alias("u")).select("doc", "length", F.col("u.names").alias("name"), F.col("u.lengths").alias("n"))
+    unsure = unsure.join(names, "name", "left_semi").groupBy("doc", "length").agg(F.sum("n").alias("n"))
+    each = sure.unionByName(unsure.withColumn("kind", F.lit("field")))
+    parts = found.where("n > 0").select("doc", "n", "length").unionByName(unsure.select("doc", "n", "length")).groupBy("doc", "length").agg(F.max("n").alias("n"))
+    coverage = parts.groupBy("doc").agg(F.max(F.least(F.lit(1.0), F.col("n") / F.col("length"))).alias("coverage"))
+    kinds = each.groupBy("doc").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return coverage.join(kinds, "doc").select(F.col("doc").alias(doc_id), "coverage", "kinds")
 
 
 def without_residue(documents: DataFrame, most: float = 0.0, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,13 +1,16 @@
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm.clusters import band_keys, describe_clusters, least_jaccard, similarity_clusters
 from loomspark.llm.leakage import holds, leaked_items
 from loomspark.llm.links import consolidate
 from loomspark.llm.packing import DEFAULT_TOKENIZER, best_fit, complete, pack_documents
-from loomspark.llm.residue import residue, without_residue
+from loomspark.llm.phrases import seed_texts
+from loomspark.llm.residue import Models, fields, residue, without_residue
 from loomspark.llm.subset import varied_subset
 from loomspark.llm.text import words
 from loomspark.llm.top_n import cluster_by_group, top_n_by_group, top_n_of_clustered
@@ -241,6 +244,45 @@ def test_residue(spark):
     assert residue(df.limit(0)).count() == 0
 
 
+#: Written before the models were tried on them; none is a seed text.
+PROBES = [
+    "The address you entered does not match any page on this server.", "panic: assignment to entry in nil map\n\ngoroutine 17 [running]:\nmain.main()", "dial tcp 10.0.0.4:5432: connect: connection refused",
+    "Per favore, abilita JavaScript nelle impostazioni del browser per proseguire.", "Beim Laden der Bewertungen ist etwas schiefgegangen. Laden Sie die Seite neu.", "Dear {recipient}, thanks for the fast delivery.",
+    "Sorry, this review is not available right now. Come back in a few minutes.", "503 Service Temporarily Unavailable nginx", "Notice: Trying to access array offset on value of type null in /srv/www/shop.php on line 88",
+    "Error: ENOENT: no such file or directory, open '/data/reviews.json'", "Please turn JavaScript on and refresh the page.", "Votre navigateur bloque les scripts, activez-les pour lire les avis.",
+    "Su navegador bloquea los scripts; actívelos para leer las opiniones.", "[Your review text]", "Hello ${userName}, your order {{order_id}} has shipped", "A timeout occurred (Error code 524)",
+    "java.sql.SQLException: Connection is closed at com.zaxxer.hikari.HikariDataSource.getConnection(HikariDataSource.java:99)", "Errore 500: il server ha riscontrato un problema",
+    "Access to XMLHttpRequest has been blocked by CORS policy", "We can't find what you're looking for. Check the URL and start over from our home page.",
+]
+BENIGN = [
+    "The error in the manual cost me an hour, but the product is great.", "I had to reload the page twice to order, shipping was quick though.", "The server rack holds everything I need and the fans are quiet.",
+    "My session at the gym is better with these headphones.", "Never found a better page holder for my books.", "The box said 24 [as promised] and there were 24.", "I never had any connection problems with this router.",
+    "Access to the battery is difficult.", "The seller denied my request for a refund.", "Great for learning javascript, the book has many examples.", "Die Seite war schnell, der Versand auch.",
+    "No se puede pedir más por este precio.", "I wrote my name {big letters} on it.", "Rated 5/5 [would buy again] by my wife.", "We use it as a placeholder until the new kitchen arrives.", "It says 'retry' on the button and that's what I did.",
+]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs a corpus")
+def test_residue_of_kinds_not_in_the_seeds(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id < 1000000")
+    rows = [(2_000_000 + i, t) for i, t in enumerate(PROBES)] + [(3_000_000 + i, t) for i, t in enumerate(BENIGN)]
+    found = {r.doc_id for r in residue(corpus.unionByName(spark.createDataFrame(rows, corpus.schema))).collect()}
+    assert len([i for i in found if 2_000_000 <= i < 3_000_000]) >= 0.85 * len(PROBES)
+    assert len([i for i in found if i >= 3_000_000]) <= 0.1 * len(BENIGN)
+    # without the notices that scripts are required in one language, those are found by the others
+    seeds = seed_texts()
+    seeds["script"] = [t for t in seeds["script"] if "veuillez" not in t and "votre" not in t and "activez" not in t and "nécessite" not in t]
+    again = {r.doc_id for r in residue(corpus.unionByName(spark.createDataFrame([(1, "Cette page nécessite JavaScript et les cookies"), (2, PROBES[5])], corpus.schema)), models=Models(seeds)).collect()}
+    assert 2 in again
+
+
+def test_fields():
+    names = lambda t: [n for *_, n in fields(t)]
+    assert names("{{ x1 }} ${y} <%= z %> %(a)s %s") == [None] * 5 and None in names("[insert it here]")
+    assert names("{product} [order_no] #name#") == [None] * 3 and names("{large} one") == ["large"]
+    assert names("a 100% sure [9 of 10] 20% off, 5 {} :-)") == []
+
+
 def test_residue_in_a_third_of_the_rows(spark):
     rng = random.Random(9)
     vocabulary = "lid handle solid week manual parts fit brother office colour strap dial heavy light paid warm cold shelf quiet clean".split()
