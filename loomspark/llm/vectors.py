@@ -6,13 +6,16 @@ its own centre, with signs of its own, so dense regions are told apart as well a
 built; a query probes, in each, its own bucket and those reached over the next nearest axes, the closest calls first. Candidates are
 ranked by their exact distance.
 
-The trees are fitted on a bounded sample (SAMPLE_ROWS); every row is indexed. A bucket that is still large, because its rows are alike
-or the sample was too coarse, is cut into blocks and the queries that probe it go to each block, so no task holds a whole bucket and no
-row is left out.
+The trees are fitted on a bounded sample (SAMPLE_ROWS); every row is indexed. Where that sample is too coarse, the buckets that come out
+too large are hashed on in further turns, each by a tree of its own that is fitted on a bounded sample of the bucket; these trees are
+rows of a table, so neither their number nor the depth is bounded, and buckets keep their size however large the collection is. A bucket
+that is still large, because its rows are alike, is cut into blocks and the queries that probe it go to each block, so no task holds a
+whole bucket and no row is left out. Queries whose buckets held fewer than k rows are answered by comparing them with all rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +30,9 @@ from loomspark.session import Workspace, shuffle_partitions
 SAMPLE_ROWS = 40_000
 #: Rows of a bucket above which it is hashed again.
 BUCKET_ROWS = 4_000
+#: Rows of a bucket on which its own tree is fitted, about, and rows of it that one task hashes on.
+OWN_SAMPLE = 4_000
+OWN_ROWS = 50_000
 #: Rows of one block of a bucket, and queries of one block of those that probe it.
 BLOCK_ROWS = 8_000
 BLOCK_QUERIES = 4_000
@@ -102,6 +108,16 @@ class HashTree:
             else:
                 node.bucket, self.buckets = self.buckets, self.buckets + 1
 
+    def packed(self) -> bytes:
+        return pickle.dumps((self.width, self.buckets, [(n.centre, n.signs, n.children, n.bucket) for n in self.nodes]))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> HashTree:
+        tree = cls.__new__(cls)
+        tree.width, tree.buckets, nodes = pickle.loads(data)
+        tree.nodes = [Node(*n) for n in nodes]
+        return tree
+
     def probe(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, bucket) pairs: the ``probes`` buckets of each row with the least loss, the row's own first.
 
@@ -147,21 +163,78 @@ def _least(rows: np.ndarray, loss: np.ndarray, n: int) -> np.ndarray:
     return order[place < n]
 
 
+def _vectors(v: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(v), dtype=np.float64).reshape(len(v), -1)
+
+
 def _assigner(trees, probes: int):
-    """(id, features) to (id, features, table, bucket), one row for each bucket probed."""
+    """(id, features) to (id, v, unit), one row for each bucket probed; v is the vector's bytes."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.vstack(batch["f"].to_numpy())
-            for t, tree in enumerate(trees):
-                rows, bucket = tree.probe(x, probes)
-                yield pd.DataFrame({"id": batch["id"].to_numpy()[rows], "f": batch["f"].to_numpy()[rows], "unit": np.int64(t) * 2**32 + bucket})
+            for k in range(0, len(batch), 2_000):
+                part = batch.iloc[k : k + 2_000]
+                x, ids = np.vstack(part["f"].to_numpy()), part["id"].to_numpy()
+                v = np.array([r.tobytes() for r in x] + [None], dtype=object)[:-1]
+                for t, tree in enumerate(trees):
+                    rows, bucket = tree.probe(x, probes)
+                    yield pd.DataFrame({"id": ids[rows], "v": v[rows], "unit": np.int64(t) * 2**32 + bucket})
 
     return assign
 
 
+PLACED = "id long, v binary, unit long"
+
+
+def _unit_tree(bucket_rows: int, seed: int):
+    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+        x = _vectors(rows.sort_values("id")["v"])
+        tree = HashTree(x, max(8, bucket_rows * len(x) / int(rows["n"].iloc[0])), seed)
+        return pd.DataFrame({"unit": [key[0]], "tree": [tree.packed()], "buckets": [tree.buckets]})
+
+    return fit
+
+
+def _hash_on(probes: int):
+    def place(key, rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(tree):
+            return pd.DataFrame({"id": [], "v": [], "unit": [], "bucket": []})
+        at, bucket = HashTree.unpacked(tree["tree"].iloc[0]).probe(_vectors(rows["v"]), probes)
+        return pd.DataFrame({"id": rows["id"].to_numpy()[at], "v": rows["v"].to_numpy()[at], "unit": key[0], "bucket": bucket})
+
+    return place
+
+
+def _smaller(indexed: DataFrame, probing: DataFrame, bucket_rows: int, probes: int, seed: int, ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hash the rows of too large buckets on until none is left that can be told apart: the index, the probes, and the rows of each bucket."""
+    turn = 0
+    done: list[str] = []
+    sizes = ws.keep(indexed.groupBy("unit").agg(F.count("*").alias("t")), "sizes")
+    while True:
+        large = sizes.where(F.col("t") > 4 * bucket_rows)
+        large = ws.keep(large.join(fixed, "unit", "left_anti") if done else large, "large")
+        if large.isEmpty():
+            return indexed, probing, sizes
+        part = F.pmod(F.xxhash64(F.lit(seed + turn), "id"), F.lit(1_000_000)) < F.ceil(F.lit(1_000_000.0) * OWN_SAMPLE / F.col("t"))
+        picked = indexed.join(large, "unit").where(part).select("unit", "id", "v", F.col("t").alias("n"))
+        trees = ws.keep(picked.groupBy("unit").applyInPandas(_unit_tree(bucket_rows, seed + turn), "unit long, tree binary, buckets long"), "trees")
+        tasks = large.select("unit", F.greatest(F.lit(1), F.ceil(F.col("t") / OWN_ROWS).cast("int")).alias("m"))
+
+        def on(df: DataFrame, probes: int) -> DataFrame:
+            salted = df.join(tasks, "unit").withColumn("salt", F.pmod(F.xxhash64("id"), "m").cast("int")).select("id", "v", "unit", "salt")
+            copies = trees.where("buckets > 1").join(tasks, "unit").select("unit", "tree", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"))
+            placed = salted.groupBy("unit", "salt").cogroup(copies.groupBy("unit", "salt")).applyInPandas(_hash_on(probes), "id long, v binary, unit long, bucket long")
+            moved = placed.select("id", "v", F.xxhash64("unit", "bucket", F.lit(turn)).alias("unit"))
+            return ws.keep(df.join(trees.where("buckets > 1").select("unit"), "unit", "left_anti").select("id", "v", "unit").unionByName(moved), "placed")
+
+        indexed, probing = on(indexed, 1), on(probing, probes)
+        alike = trees.where("buckets = 1").select("unit")
+        fixed = alike if not done else fixed.unionByName(alike)
+        done.append("turn")
+        sizes = ws.keep(indexed.groupBy("unit").agg(F.count("*").alias("t")), "sizes")
+        turn += 1
+
+
 def _nearest(k: int):
     """Exact distances inside each unit of a partition sorted by unit; train rows come before the queries."""
 
@@ -172,28 +245,34 @@ def _nearest(k: int):
             if not train or not asked:
                 return None
             t, q = pd.concat(train, ignore_index=True), pd.concat(asked, ignore_index=True)
-            a, b = np.vstack(t["f"].to_numpy()), np.vstack(q["f"].to_numpy())
+            a, b = _vectors(t["v"]), _vectors(q["v"])
             # train ids ascending, so a stable sort breaks ties by id
             order = np.argsort(t["id"].to_numpy(), kind="stable")
             ids, a = t["id"].to_numpy()[order], a[order]
             take = min(k, len(ids))
-            aa, ids_out, d_out = (a * a).sum(axis=1), [], []
-            step = max(1, 4_000_000 // len(ids))
+            ids_out, d_out = [], []
+            # short floats around the mean find all that may be among the k nearest; their distances are then worked out in full
+            mean = a.mean(axis=0)
+            near_a, near_b = (a - mean).astype(np.float32), (b - mean).astype(np.float32)
+            aa = (near_a * near_a).sum(axis=1)
+            room = np.float32(1e-5) * (aa.max() + (near_b * near_b).sum(axis=1, keepdims=True) + np.float32(1e-9))
+            near_t = np.ascontiguousarray(near_a.T) * np.float32(-2)
+            step = max(1, 2_000_000 // len(ids))
             for s in range(0, len(b), step):
                 part = b[s : s + step]
-                d = aa[None, :] - 2.0 * (part @ a.T)
                 if take < len(ids):
-                    # all that may be among the k nearest: the k-th and what equals it but for rounding
+                    d = near_b[s : s + step] @ near_t
+                    d += aa
                     cut = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-                    near = d <= cut + 1e-9 * (np.abs(cut) + aa.max() + 1.0)
+                    r, c = np.nonzero(d <= cut + room[s : s + step])
                 else:
-                    near = np.ones(d.shape, dtype=bool)
-                r, c = np.nonzero(near)
+                    r, c = np.nonzero(np.ones((len(part), len(ids)), dtype=bool))
                 exact = np.sqrt(((part[r] - a[c]) ** 2).sum(axis=1))
                 best = _least_ties(r, exact, c, take)
                 ids_out.append(ids[c[best]].reshape(-1, take))
                 d_out.append(exact[best].reshape(-1, take))
-            return pd.DataFrame({"id": q["id"], "near": list(np.vstack(ids_out)), "dist": list(np.vstack(d_out))})
+            near, dist = np.vstack(ids_out), np.vstack(d_out)
+            return pd.DataFrame({"id": q["id"], "near": [x.tobytes() for x in near], "dist": [x.tobytes() for x in dist]})
 
         for batch in batches:
             for u, part in batch.groupby("block", sort=False):
@@ -203,15 +282,47 @@ def _nearest(k: int):
                     unit, train, asked = u, [], []
                 is_query = part["query"].to_numpy()
                 if (~is_query).any():
-                    train.append(part.loc[~is_query, ["id", "f"]])
+                    train.append(part.loc[~is_query, ["id", "v"]])
                 if is_query.any():
-                    asked.append(part.loc[is_query, ["id", "f"]])
+                    asked.append(part.loc[is_query, ["id", "v"]])
         if (out := answer()) is not None:
             yield out
 
     return search
 
 
+def _merged(k: int):
+    """Lists of near rows, sorted by query, to the k nearest of each query; a query's lists are reduced as they come."""
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        n = [len(x) // 8 for x in rows["near"]]
+        q, near, dist = np.repeat(rows["id"].to_numpy(), n), np.frombuffer(b"".join(rows["near"]), dtype=np.int64), np.frombuffer(b"".join(rows["dist"]), dtype=np.float64)
+        order = np.lexsort((near, dist, q))
+        q, near, dist = q[order], near[order], dist[order]
+        again = np.r_[False, (q[1:] == q[:-1]) & (near[1:] == near[:-1]) & (dist[1:] == dist[:-1])]
+        q, near, dist = q[~again], near[~again], dist[~again]
+        first = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        keep = place < k
+        return pd.DataFrame({"id": q[keep], "near": near[keep], "dist": dist[keep], "rank": place[keep] + 1})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = rows["id"].to_numpy() == rows["id"].iloc[-1]  # its lists may go on
+            if (~last).any():
+                yield cut(rows[~last])
+            own = cut(rows[last])
+            held = pd.DataFrame({"id": own["id"].iloc[:1], "near": [own["near"].to_numpy().tobytes()], "dist": [own["dist"].to_numpy().tobytes()]})
+        if held is not None:
+            yield cut(held)
+
+    return merge
+
+
 def _least_ties(r: np.ndarray, d: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     """Positions of the n least (distance, place) of each row, in that order."""
     order = np.lexsort((c, d, r))
@@ -245,8 +356,8 @@ def nearest_vectors(
     """The k nearest rows of each query by euclidean distance: columns query_id, row_id, distance, rank.
 
     Features that are null, of another length than ``dim``, or hold a null, NaN or infinite element aren't usable, and their rows are
-    left out on both sides, as are null ids; an id that occurs several times counts once. Ties go to the smaller id. Fewer than k usable
-    rows in the buckets probed give fewer neighbours; no usable row gives none. The result is approximate: recall is measured in the
+    left out on both sides, as are null ids; an id that occurs several times counts once. Ties go to the smaller id. Each query has k
+    neighbours, or all usable rows if there are fewer; no usable row gives none. The result is approximate: recall is measured in the
     tests; the distances are exact.
     """
     spark = rows.sparkSession
@@ -260,24 +371,32 @@ def nearest_vectors(
     sample = np.vstack(picked["f"].to_numpy()) if len(picked) else np.zeros((0, dim))
     per_row = max(1e-9, len(sample) / max(1, count))
     trees = [HashTree(sample, max(bucket_rows * per_row, 8), seed + t) for t in range(tables)]
-    placed = "id long, f array<double>, unit long"
-    indexed = ws.keep(train.mapInPandas(_assigner(trees, 1), placed), "index")
-    probing = ws.keep(asked.mapInPandas(_assigner(trees, probes), placed), "probes")
-    # bounded by the trees, which are bounded by the sample: (bucket, its row blocks, its query blocks)
-    sizes = indexed.groupBy("unit").agg(F.count("*").alias("t")).join(probing.groupBy("unit").agg(F.count("*").alias("q")), "unit")
-    blocks = F.broadcast(ws.keep(sizes.select("unit", F.ceil(F.col("t") / BLOCK_ROWS).cast("int").alias("tb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb")), "blocks"))
-
-    def spread(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("o")
-        at = df.join(blocks, "unit").select("id", "f", "unit", mine.alias("m"), every)
-        t, q = ("o", "m") if query else ("m", "o")
-        return at.select("id", "f", F.lit(query).alias("query"), F.xxhash64("unit", t, q).alias("block"))
-
-    work = spread(indexed, "tb", "qb", False).unionByName(spread(probing, "qb", "tb", True))
-    found = work.repartition(n, "block").sortWithinPartitions("block", "query").mapInPandas(_nearest(k), "id long, near array<long>, dist array<double>")
-    pairs = found.select("id", F.arrays_zip(F.col("dist").alias("d"), F.col("near").alias("i")).alias("c"))
-    # at most tables * probes * blocks lists of k for each query
-    best = pairs.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))), 1, k).alias("c"))
-    out = best.select("id", F.posexplode("c").alias("pos", "c"))
-    return out.select(F.col("id").alias(query_id), F.col("c.i").alias(row_id), F.col("c.d").alias("distance"), (F.col("pos") + 1).alias("rank"))
+    indexed = ws.keep(train.mapInPandas(_assigner(trees, 1), PLACED), "index")
+    probing = ws.keep(asked.mapInPandas(_assigner(trees, probes), PLACED), "probes")
+    indexed, probing, sizes = _smaller(indexed, probing, bucket_rows, probes, seed, ws)
+
+    def searched(indexed: DataFrame, probing: DataFrame, sizes: DataFrame) -> DataFrame:
+        """The k nearest rows of each query in the units that it has, by (unit, its row blocks, its query blocks)."""
+        asked_of = probing.groupBy("unit").agg(F.count("*").alias("q"))
+        blocks = sizes.join(asked_of, "unit").select("unit", F.ceil(F.col("t") / BLOCK_ROWS).cast("int").alias("tb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb"))
+        blocks = ws.keep(blocks, "blocks")
+
+        def spread(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
+            mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+            every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("o")
+            at = df.join(blocks, "unit").select("id", "v", "unit", mine.alias("m"), every)
+            t, q = ("o", "m") if query else ("m", "o")
+            return at.select("id", "v", F.lit(query).alias("query"), F.xxhash64("unit", t, q).alias("block"))
+
+        work = spread(indexed, "tb", "qb", False).unionByName(spread(probing, "qb", "tb", True))
+        found = work.repartition(n, "block").sortWithinPartitions("block", "query").mapInPandas(_nearest(k), "id long, near binary, dist binary")
+        return found.repartition(n, "id").sortWithinPartitions("id").mapInPandas(_merged(k), "id long, near long, dist double, rank int")
+
+    best = ws.keep(searched(indexed, probing, sizes), "best")
+    short = ws.keep(asked.join(best.where(F.col("rank") == min(k, count)).select("id"), "id", "left_anti"), "short")
+    if count and not short.isEmpty():
+        # all rows are one unit, in blocks
+        whole = _assigner([HashTree(sample[:1], 1, seed)], 1)
+        rest = searched(train.mapInPandas(whole, PLACED), short.mapInPandas(whole, PLACED), spark.createDataFrame([(0, count)], "unit long, t long"))
+        best = best.join(short.select("id"), "id", "left_anti").unionByName(ws.keep(rest, "rest"))
+    return best.select(F.col("id").alias(query_id), F.col("near").alias(row_id), F.col("dist").alias("distance"), "rank")
