@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm.clusters import band_keys, describe_clusters, least_jaccard, similarity_clusters
+from loomspark.llm.clusters import Verifier, band_keys, describe_clusters, least_jaccard, similarity_clusters
 from loomspark.llm.leakage import holds, leaked_items
 from loomspark.llm.links import consolidate
 from loomspark.llm.packing import DEFAULT_TOKENIZER, best_fit, complete, pack_documents
@@ -92,6 +92,20 @@ def test_nearest_vectors_recall(spark):
     assert nearest_vectors(frame(q[:2], "index_test", []), frame(x, "index_train", []).limit(0), 10, dim=32).count() == 0
 
 
+def test_nearest_vectors_of_small_buckets_and_few_rows(spark):
+    """Buckets hashed on in turns keep their size, equal rows stay together, and every query has k neighbours."""
+    rng = np.random.RandomState(8)
+    x = np.vstack([rng.randn(4, 16)[rng.randint(0, 4, 2500)] * 3 + rng.randn(2500, 16) * 0.2, np.ones((400, 16))])
+    q = np.vstack([x[:40] + rng.randn(40, 16) * 0.05, rng.randn(3, 16) * 50])
+    frame = lambda a, name: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(a)], f"{name} long, features array<double>")
+    got = nearest_vectors(frame(q, "index_test"), frame(x, "index_train"), 10, dim=16, bucket_rows=60, sample_rows=60).toPandas()
+    d = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    want = {(i, int(j)) for i in range(43) for j in np.argsort(d[i], kind="stable")[:10]}
+    assert len(got) == 430 and len(want & set(zip(got.index_test, got.index_train))) >= 0.85 * len(want)
+    few = nearest_vectors(frame(q[:5], "index_test"), frame(x[:7], "index_train"), 10, dim=16, probes=1, bucket_rows=2).toPandas()
+    assert len(few) == 35 and (few.groupby("index_test").index_train.nunique() == 7).all()
+
+
 def test_hash_tree_of_equal_vectors():
     tree = HashTree(np.ones((500, 4)), 10, 1)
     rows, bucket = tree.probe(np.ones((3, 4)), 2)
@@ -138,6 +152,8 @@ def test_least_jaccard_bounds_the_similarity():
         cells = [np.floor((p[:, None] + np.arange(16) * 2 / 16) / 2).ravel() for p in (a, b)]
         common = (cells[0] == cells[1]).sum()
         assert common / (256 - common) >= least_jaccard(0.5, 8, 2.0, 16)
+        check = Verifier(8, 0.5, 2.0, 16)
+        assert np.isclose(check.jaccard(check.lattice(a[None]), check.lattice(b[None]))[0], common / (256 - common))
     assert (band_keys(np.array([a, a]), 2.0, 16)[0] == band_keys(np.array([a, a]), 2.0, 16)[1]).all()
 
 
