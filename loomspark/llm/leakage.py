@@ -2,10 +2,14 @@
 
 The corpus is stored as postings, in segments of some thousand documents: for every word of the test items, the documents and positions
 where it stands. In every stretch of SPAN words of an item the rarest pairs of neighbouring words (by the words' postings in the whole
-corpus) are anchors. A segment's lists of an anchor's two words, adjusted by one place, are intersected from the rarer one; a document
-is a candidate for an item where several anchors agree on where the item would begin, up to the words that may have been added or
-dropped between them. A candidate's words, as the segment has them, are then aligned with the item's: this gives exact phrases and near
-ones alike. No list leaves its segment, so nothing is shuffled but the words' counts.
+corpus) are anchors. In a segment the lists of the anchors' words, adjusted by one place, are intersected, all at once by merging them in
+the order of the documents; a document is a candidate for an item where several anchors agree on where the item would begin, up to the
+words that may have been added or dropped between them. A candidate's words, as the segment has them, are then aligned with the item's:
+this gives exact phrases and near ones alike. A segment is written and read where it is; nothing is shuffled but the words' counts.
+
+No stretch is missed. Of a stretch with at most one edit in eight words, some SPAN words in a row hold at most six edits: two such parts
+cover one of less than twice the length, and only if the edits are where they overlap do both hold all, which are six at most; of longer
+ones a part holds no more than the average. Six edits spoil twelve of a part's eighteen anchors at most and leave AGREE.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ from loomspark.session import Workspace
 
 #: Words that must stand in the document, and of how many one may be changed, dropped or added.
 SPAN, EDIT_IN = 30, 8
-#: Anchors of each stretch of SPAN words and how many must agree. Each edit spoils two neighbouring pairs, so of 18 any 5 edits leave 8.
-ANCHORS, AGREE = 18, 8
+#: Anchors of each stretch of SPAN words and how many must agree. Each edit spoils two neighbouring pairs, so of 18 any 6 edits leave 6.
+ANCHORS, AGREE = 18, 6
 #: How far offsets may differ that still agree.
-DRIFT = 5
+DRIFT = 6
 #: Postings of one segment, about.
 SEGMENT = 400_000
 #: Words of test items that are searched for in one pass over the corpus; more items take several passes.
@@ -77,36 +81,53 @@ def choose_anchors(items: list[list[int]], count: dict[int, int]) -> dict[tuple[
     return out
 
 
-def _candidates(term: np.ndarray, key: np.ndarray, anchors: dict, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, item, offset) where enough anchors agree. key: document number * 2**32 + position, sorted within each term."""
-    each, start = np.unique(term, return_index=True)
-    lists = dict(zip(each.tolist(), np.split(key, start[1:])))
-    hit, item, place = [], [], []
-    for (t, u), at in anchors.items():
-        if (first := lists.get(t)) is None:
-            continue
-        if u >= 0:
-            if (second := lists.get(u)) is None:
-                continue
-            few, many, step = (first, second, 1) if len(first) <= len(second) else (second, first, -1)
-            where = np.searchsorted(many, few + step)
-            both = many[np.minimum(where, len(many) - 1)] == few + step
-            first = few[both] if step == 1 else few[both] - 1
-        if len(first):
-            k, i = np.array(at).T
-            hit.append(np.repeat(first, len(k)))
-            item.append(np.tile(k, len(first)))
-            place.append(np.tile(i, len(first)))
-    if not hit:
+class Anchors:
+    """The anchors of a pass by pairs of words: each pair's items and places in them."""
+
+    def __init__(self, items: list[list[int]], count: dict[int, int]):
+        chosen = choose_anchors(items, count)
+        self.words = 1 + max((t for item in items for t in item), default=0)
+        pairs = np.array([(t, u) for t, u in chosen] or [(0, 0)], dtype=np.int64)
+        code = self.code(pairs[:, 0], pairs[:, 1])
+        order = np.argsort(code)
+        lists = list(chosen.values())
+        self.codes = code[order]
+        self.size = np.array([len(lists[k]) for k in order] if lists else [0])
+        self.start = np.r_[0, np.cumsum(self.size)]
+        at = np.array([x for k in order for x in lists[k]] if lists else [(0, 0)], dtype=np.int64)
+        self.item, self.place = at[:, 0], at[:, 1]
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[self.codes % len(self.maybe)] = True
+
+    def code(self, t: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return t.astype(np.int64) * (self.words + 1) + (u.astype(np.int64) + 1)
+
+    def hits(self, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where, item, place in it) for the pairs ``code`` at ``at`` that are anchors."""
+        some = np.flatnonzero(self.maybe[code % len(self.maybe)])
+        k = np.minimum(np.searchsorted(self.codes, code[some]), len(self.codes) - 1)
+        same = (self.codes[k] == code[some]) & (self.size[k] > 0)
+        k, at = k[same], at[some[same]]
+        n = self.size[k]
+        pick = np.repeat(self.start[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.repeat(at, n), self.item[pick], self.place[pick]
+
+
+def _candidates(term: np.ndarray, key: np.ndarray, anchors: Anchors, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, offset) where enough anchors agree. key: document number * 2**32 + position, ascending; term: the word there."""
+    next_to = np.flatnonzero(key[1:] == key[:-1] + 1)
+    found = [anchors.hits(anchors.code(term[next_to], term[next_to + 1]), key[next_to]), anchors.hits(anchors.code(term, np.full(len(term), -1)), key)]
+    hit, item, place = (np.concatenate(x) for x in zip(*found))
+    if not len(hit):
         return (np.zeros(0, dtype=np.int64),) * 3
-    hit, item, place = np.concatenate(hit), np.concatenate(item), np.concatenate(place)
-    # first by offset alone, which leaves few: document, item and offset packed into one number
-    packed = ((hit >> 32) << 43) | (item.astype(np.int64) << 23) | ((hit & 0xFFFFFFFF) - place + (1 << 20))
-    order = np.argsort(packed)
-    packed, first = packed[order], item[order]
-    last = np.arange(len(packed)) + np.minimum(AGREE, np.maximum(1, lengths[first] - 1)) - 1
-    run = np.flatnonzero((last < len(packed)) & (packed[np.minimum(last, len(packed) - 1)] - packed <= np.where(lengths[first] < SPAN, 0, DRIFT)))
-    marks = np.zeros(len(packed) + 1, dtype=np.int64)
+    # first by offset alone, which leaves few
+    pair, off = (hit >> 32) * len(lengths) + item, (hit & 0xFFFFFFFF) - place
+    order = np.lexsort((off, pair))
+    pair, off, first = pair[order], off[order], item[order]
+    last = np.arange(len(pair)) + np.minimum(AGREE, np.maximum(1, lengths[first] - 1)) - 1
+    end = np.minimum(last, len(pair) - 1)
+    run = np.flatnonzero((last < len(pair)) & (pair[end] == pair) & (off[end] - off <= np.where(lengths[first] < SPAN, 0, DRIFT)))
+    marks = np.zeros(len(pair) + 1, dtype=np.int64)
     np.add.at(marks, run, 1)
     np.add.at(marks, last[run] + 1, -1)
     some = order[np.cumsum(marks[:-1]) > 0]
@@ -127,15 +148,13 @@ def _candidates(term: np.ndarray, key: np.ndarray, anchors: dict, lengths: np.nd
     ok = last < len(doc)
     last = np.minimum(last, len(doc) - 1)
     ok &= (doc[last] == doc) & (item[last] == item) & (block[last] == block) & (off[last] - off <= drift)
+    # an alignment's band is much wider than a place, so of two neighbouring offsets one will do
+    off = np.where(lengths[item] < SPAN, off, off & ~1)
     found = np.unique(np.c_[doc[ok], item[ok], off[ok]], axis=0)
-    if not len(found):
-        return (np.zeros(0, dtype=np.int64),) * 3
-    near = (found[1:, 0] == found[:-1, 0]) & (found[1:, 1] == found[:-1, 1]) & (found[1:, 2] - found[:-1, 2] <= 1) & (lengths[found[1:, 1]] >= SPAN)
-    found = found[np.r_[True, ~near]]
-    return found[:, 0], found[:, 1], found[:, 2]
+    return (found[:, 0], found[:, 1], found[:, 2]) if len(found) else (np.zeros(0, dtype=np.int64),) * 3
 
 
-def _search(anchors: dict, items: list[list[int]], ids: list):
+def _search(anchors: Anchors, items: list[list[int]], ids: list):
     arrays, lengths = [np.array(x, dtype=np.int64) for x in items], np.array([len(x) for x in items])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,15 +164,16 @@ def _search(anchors: dict, items: list[list[int]], ids: list):
                 named, number = np.unique(doc, return_inverse=True)
                 key = (number.astype(np.int64) << 32) + pos
                 at = np.argsort(key, kind="stable")
-                start = np.searchsorted(number[at], np.arange(len(named) + 1))
+                term, key, pos = term[at], key[at], pos[at]
+                start = np.searchsorted(key >> 32, np.arange(len(named) + 1))
                 found: set[tuple[int, int]] = set()
                 held, text = -1, None
                 for n, k, off in zip(*(x.tolist() for x in _candidates(term, key, anchors, lengths))):
                     if (n, k) in found:
                         continue
                     if n != held:  # the words of one document, as far as the items have them
-                        own = at[start[n] : start[n + 1]]
-                        text = np.full(pos[own[-1]] + 1, -1, dtype=np.int64)
+                        own = slice(start[n], start[n + 1])
+                        text = np.full(pos[own][-1] + 1, -1, dtype=np.int64)
                         text[pos[own]] = term[own]
                         held = n
                     if holds(arrays[k], text, off):
@@ -224,20 +244,22 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
     spark = documents.sparkSession
     docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     kind = items.schema[item_id].dataType
-    tests = [(r[0], w) for r in items.select(item_id, text).where(F.col(item_id).isNotNull()).orderBy(item_id).toLocalIterator() if (w := words(r[1]))]
-    passes: list[list] = [[]]
-    size = 0
+    out = spark.createDataFrame([], f"doc long, item {kind.simpleString()}")
+    for part in _passes((r[0], w) for r in items.select(item_id, text).where(F.col(item_id).isNotNull()).toLocalIterator() if (w := words(r[1]))):
+        out = out.unionByName(_one_pass(docs, part, kind))
+    return out.distinct().select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
+
+
+def _passes(tests: Iterator) -> Iterator[list]:
+    part, size = [], 0
     for t in tests:
-        if size > PASS_WORDS:
-            passes.append([])
-            size = 0
-        passes[-1].append(t)
+        part.append(t)
         size += len(t[1])
-    out = None
-    for part in passes:
-        found = _one_pass(docs, part, kind) if part else spark.createDataFrame([], f"doc long, item {kind.simpleString()}")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct().select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
+        if size > PASS_WORDS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _one_pass(docs: DataFrame, tests: list, kind) -> DataFrame:
@@ -248,6 +270,7 @@ def _one_pass(docs: DataFrame, tests: list, kind) -> DataFrame:
     # one row for each word of the items
     each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("c")).groupBy("c.terms").agg(F.sum("c.counts").alias("n"))
     count = {r[0]: r[1] for r in each.toLocalIterator()}
-    anchors = choose_anchors(items, count)
-    # a segment is some MB, so few of them make a batch
-    return index.select("term", "doc", "pos").repartition(max(1, len(index.inputFiles()))).mapInPandas(_search(anchors, items, [t[0] for t in tests]), f"doc long, item {kind.simpleString()}")
+    found = index.select("term", "doc", "pos").mapInPandas(_search(Anchors(items, count), items, [t[0] for t in tests]), f"doc long, item {kind.simpleString()}")
+    found = ws.keep(found, "found")
+    ws.drop(index)
+    return found

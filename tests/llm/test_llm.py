@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm.clusters import Verifier, band_keys, describe_clusters, least_jaccard, similarity_clusters
-from loomspark.llm.leakage import holds, leaked_items
+from loomspark.llm.leakage import Anchors, _candidates, holds, leaked_items
 from loomspark.llm.links import consolidate
 from loomspark.llm.packing import DEFAULT_TOKENIZER, best_fit, complete, pack_documents
 from loomspark.llm.phrases import seed_texts
@@ -221,6 +221,15 @@ def test_words_whatever_their_form():
     assert words(None) == words("") == words("?!") == []
 
 
+def _terms(text, vocabulary):
+    return np.array([vocabulary.index(w) if w in vocabulary else -1 for w in text])
+
+
+def _postings(texts, vocabulary):
+    rows = [((n << 32) + p, t) for n, text in enumerate(texts) for p, t in enumerate(_terms(" ".join(text).split(), vocabulary)) if t >= 0]
+    return np.array([t for _, t in rows]), np.array([k for k, _ in rows])
+
+
 def test_leaks(spark):
     w = ITEM.split()
     three = w[:30]
@@ -244,6 +253,16 @@ def test_leaks(spark):
     items = spark.createDataFrame([(100, ITEM), (200, "Short text leaks"), (300, None), (None, ITEM), (400, "never"), (500, "")], "eval_id long, text string")
     got = leaked_items(docs, items)
     assert sorted(map(tuple, got.collect())) == [(1, 100), (3, 100), (6, 200), (10, 100), (11, 100)]
+    rng = random.Random(12)
+    for trial in range(60):  # any stretch of up to 80 words with one edit in eight, wherever the edits are
+        long = [f"v{trial}x{i}" for i in range(90)]
+        at, n = rng.randint(0, 10), rng.randint(30, 80)
+        part = long[at : at + n]
+        spots = rng.sample(range(1, n - 1), n // 8) if trial % 2 else range(n // 2 - n // 8, n // 2 + n // 8, 2)
+        for spot in list(spots)[: n // 8]:
+            part[spot] = rng.choice(["", "other", f"{part[spot]} more"])
+        found = _candidates(*_postings([[*part]], long), Anchors([list(range(90))], {}), np.array([90]))
+        assert any(holds(np.arange(90), _terms(" ".join(part).split(), long), int(off)) for off in found[2]), (trial, n)
     assert leaked_items(docs.limit(0), items).count() == 0 and leaked_items(docs, items.limit(0)).count() == 0
     assert holds(np.arange(40), np.r_[np.arange(40)], 0) and not holds(np.arange(40), np.arange(100, 140), 0)
 
