@@ -77,6 +77,13 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), 2048)
 
 
+def p8_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of 256 tokens that hold reviews of one item only: with few documents to choose from, best-fit isn't enough."""
+    from loomspark.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), 256, by="item_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.leakage import leaked_items
 
@@ -90,7 +97,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_subset": p5_subset, "p5_fixed": p5_fixed, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_subset": p5_subset, "p5_fixed": p5_fixed, "p8_containers": p8_containers, "p8_by_item": p8_by_item, "p9_found": p9_found, "p10_found": p10_found}
 
 
 SQL = {

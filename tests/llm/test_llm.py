@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.llm.clusters import Verifier, band_keys, describe_clusters, least_jaccard, similarity_clusters
 from loomspark.llm.leakage import Anchors, _candidates, holds, leaked_items
 from loomspark.llm.links import consolidate
-from loomspark.llm.packing import DEFAULT_TOKENIZER, best_fit, complete, pack_documents
+from loomspark.llm.packing import DEFAULT_TOKENIZER, best_fit, complete, dominates, least_containers, pack_documents
 from loomspark.llm.phrases import seed_texts
 from loomspark.llm.residue import Models, fields, residue, without_residue
 from loomspark.llm.subset import varied_subset
@@ -200,12 +200,41 @@ def test_varied_subset_against_greedy(spark, monkeypatch):
     assert len(set(ids)) == 100 and chosen(ids) >= 0.95 * chosen(None)
 
 
+def optimum(sizes, capacity):
+    best = len(sizes)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) < best and k == len(sizes):
+            best = len(rooms)
+        elif len(rooms) < best:
+            for i in range(len(rooms)):
+                if rooms[i] >= sizes[k]:
+                    put(k + 1, [*rooms[:i], rooms[i] - sizes[k], *rooms[i + 1 :]])
+            put(k + 1, [*rooms, capacity - sizes[k]])
+
+    put(0, [])
+    return best
+
+
 def test_packing(spark):
     assert len(complete([6, 5, 5, 4, 4, 3, 3, 3, 3], 12)) == 3 and len(best_fit([6, 5, 5, 4, 4, 3, 3, 3, 3], 12)) >= 3
     for seed in range(5):
         sizes = [random.Random(seed * 99 + k).randint(1, 40) for k in range(120)]
         bins = complete(sizes, 50)
         assert sorted(s for b in bins for s in b) == sorted(sizes) and max(map(sum, bins)) <= 50 and len(bins) <= len(best_fit(sizes, 50))
+    fewer = 0
+    for seed in range(40):  # without limits the search finds the optimum
+        rng = random.Random(seed)
+        sizes = [rng.randint(1, 30) for _ in range(rng.randint(1, 9))]
+        assert len(complete(sizes, 50, looked=None, kept=None, nodes=None)) == optimum(sizes, 50) >= least_containers(sizes, 50)
+        sizes = [rng.randint(15, 60) for _ in range(40)]
+        fewer += len(best_fit(sizes, 100)) - len(complete(sizes, 100))
+    assert fewer > 5
+    assert dominates((5, 4), (4, 3, 1)) and not dominates((5, 4), (3, 3, 3)) and dominates((6, 3), (3, 3, 3))
+    by_item = pack_documents(spark.createDataFrame([(i, "word " * (20 + i * 7 % 41), None if i % 5 == 4 else i % 5) for i in range(150)], "doc_id long, text string, item int"), 100, by="item").toPandas()
+    assert len(by_item) == 150 and by_item.groupby(["item", "container"], dropna=False).tokens.sum().max() <= 100
+    assert by_item.groupby("item", dropna=False).container.nunique().sum() < sum(len(best_fit(g.tokens.tolist(), 100)) for _, g in by_item.groupby("item", dropna=False))
     rows = [(i, "word " * (i % 30 + 1)) for i in range(200)] + [(500, "long " * 300), (501, None), (502, ""), (None, "x"), (3, "word")]
     got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), 64, shard_docs=80).toPandas()
     assert got.groupby("container").tokens.sum().max() <= 64 and set(got.doc_id) == {*range(200), 500}
