@@ -33,6 +33,8 @@ BANDS, BAND_ROWS = 12, 3
 #: Records of a bucket above which it is split over tasks; members of a component above which its medoids are chosen in distributed turns.
 HOT_ROWS = 20_000
 LOOSE_ROWS = 5_000
+#: Pairs verified at once.
+PAIRS = 500_000
 #: Width of a grid in radii.
 WIDTH = 4.0
 #: Multiplier and shift of the 64-bit mixing steps.
@@ -107,9 +109,12 @@ class Verifier:
 
     def jaccard(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The Jaccard similarity of the sets of rows that are at ``p`` and at ``q`` on the lattice."""
-        common = np.zeros(np.broadcast_shapes(p.shape, q.shape)[:-1])
-        for d in range(self.dim):
-            common += np.maximum(0, self.shifts - np.abs(p[..., d] - q[..., d]))
+        if p.shape == q.shape:
+            common = np.maximum(self.shifts - np.abs(p - q), 0).sum(axis=-1)
+        else:
+            common = np.zeros(np.broadcast_shapes(p.shape, q.shape)[:-1])
+            for d in range(self.dim):
+                common += np.maximum(self.shifts - np.abs(p[..., d] - q[..., d]), 0)
         return common / (2 * self.n - common)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,40 +136,46 @@ class Verifier:
             out[k + i[::-1]] = j[::-1]
         return out
 
-    def bucket(self, ids: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Links that connect all of a bucket that is connected in it."""
-        out = []
-        while len(ids) > 1:
-            ok = self.pairs(x, np.broadcast_to(x[0], x.shape))
-            ok[0] = True
-            out.append((ids[ok][1:], np.full(ok.sum() - 1, ids[0])))
-            rest = ~ok
-            if rest.any():
-                at = self.first_links(x[rest], x[ok])
-                out.append((ids[rest][at >= 0], ids[ok][at[at >= 0]]))
-            ids, x = ids[rest], x[rest]
-        return out
-
 
 def _link_buckets(check: Verifier):
-    """(bk, id, v) sorted by bk and id, whole buckets, to links (a, b)."""
+    """(bk, id, v) sorted by bk and id, whole buckets, to links (a, b) that connect all of a bucket that is connected in it."""
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        """All buckets take their turns together: the rows left are verified against their bucket's first one, those that fail against the verified
+        ones, and those go into the next turn."""
         bk, ids, x = rows["bk"].to_numpy(), rows["id"].to_numpy(), _matrix(rows["v"], check.dim)
-        first = np.r_[0, np.flatnonzero(bk[1:] != bk[:-1]) + 1]
-        size = np.diff(np.r_[first, len(bk)])
-        pivot = np.repeat(first, size)
-        ok = check.pairs(x, x[pivot])
-        ok[first] = True
-        star = ok & (np.arange(len(bk)) != pivot)
-        a, b = [ids[star]], [ids[pivot[star]]]
-        failed = np.zeros(len(first), dtype=bool)
-        failed[np.searchsorted(first, np.flatnonzero(~ok), side="right") - 1] = True
-        for k in np.flatnonzero(failed):
-            at = slice(first[k], first[k] + size[k])
-            for p, q in check.bucket(ids[at], x[at]):
-                a.append(p)
-                b.append(q)
+        at = check.lattice(x)
+
+        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = check.jaccard(at[i], at[j]) >= check.least
+            near = np.flatnonzero(out)
+            out[near] = ((x[i[near]] - x[j[near]]) ** 2).sum(axis=1) <= check.radius**2
+            return out
+
+        a, b, left = [ids[:0]], [ids[:0]], np.arange(len(bk))
+        while len(left):
+            first = np.r_[0, np.flatnonzero(bk[left][1:] != bk[left][:-1]) + 1]
+            size = np.diff(np.r_[first, len(left)])
+            pivot = np.repeat(left[first], size)
+            ok = np.concatenate([linked(left[k : k + PAIRS], pivot[k : k + PAIRS]) for k in range(0, len(left), PAIRS)])
+            ok[first] = True
+            star = ok & (left != pivot)
+            a.append(ids[left[star]])
+            b.append(ids[pivot[star]])
+            good, failed = left[star], left[~ok]
+            # the verified rows of each failed row's bucket, but for the pivot
+            start = np.searchsorted(bk[good], bk[failed], side="left")
+            n = np.searchsorted(bk[good], bk[failed], side="right") - start
+            edges = np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1
+            for part in np.split(np.arange(len(failed)), edges):
+                m = n[part]
+                of = np.repeat(part, m)
+                to = np.repeat(start[part], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                hit = np.flatnonzero(linked(failed[of], good[to]))
+                one, where = np.unique(of[hit], return_index=True)
+                a.append(ids[failed[one]])
+                b.append(ids[good[to[hit[where]]]])
+            left = failed
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

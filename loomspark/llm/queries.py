@@ -100,7 +100,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_subset": p5_subset, "p5_fixed": p5_fixed, "p8_containers": p8_containers, "p8_by_item": p8_by_item, "p9_found": p9_found, "p10_found": p10_found}
 
 
+_USABLE = "features IS NOT NULL AND len(features) = {} AND len(list_filter(features, lambda x: x IS NULL OR isnan(x))) = 0"
+
 SQL = {
+    "p2_found": f"""
+        WITH q AS (SELECT index_test, min(features) AS f FROM knn_test WHERE index_test IS NOT NULL AND {_USABLE.format(32)} GROUP BY index_test),
+        t AS (SELECT index_train, min(features) AS f FROM knn_train WHERE index_train IS NOT NULL AND {_USABLE.format(32)} GROUP BY index_train)
+        SELECT index_test, index_train FROM q, t
+        QUALIFY row_number() OVER (PARTITION BY index_test ORDER BY list_distance(q.f, t.f), index_train) <= 10""",
+    "p3_found": f"""
+        WITH p AS (SELECT index_train, min(features) AS f FROM hiclust_points WHERE index_train IS NOT NULL AND {_USABLE.format(8)} GROUP BY index_train)
+        SELECT a.index_train, min(b.index_train) AS cluster_min FROM p a JOIN p b ON b.f[1] BETWEEN a.f[1] - 0.5 AND a.f[1] + 0.5
+        WHERE list_distance(a.f, b.f) <= 0.5 GROUP BY a.index_train HAVING count(*) > 1""",
     "p1_found": """
         WITH best AS (
             SELECT index_test, index_train, min(distance) AS distance FROM knn_candidates

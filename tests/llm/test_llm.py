@@ -37,13 +37,12 @@ def test_top_n(spark):
     assert top_n_by_group(df.limit(0), 5).count() == 0
 
 
-def test_top_n_skips_row_groups(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("loomspark.llm.top_n.ROW_GROUP_BYTES", 4096)
+def test_top_n_skips_files(spark, tmp_path):
     df = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.col("id").alias("i"), F.rand(1).alias("s"))
     path = f"file://{tmp_path}/clustered"
-    cluster_by_group(df, path, "g", "i", "s", partitions=3)
+    cluster_by_group(df, path, "g", "i", "s", partitions=3, file_rows=2_000)
     top, read = top_n_of_clustered(spark, path, 5)
-    assert read["read"] < read["row_groups"] / 2
+    assert read["read"] < read["files"] / 2 and read["rows_read"] < read["rows"] / 2 and read["rows"] == 60_000
     want = df.groupBy("g").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 5).alias("s"))
     assert {(r.g, tuple(r.s)) for r in want.collect()} == {(r.g, tuple(r.s)) for r in top.groupBy("g").agg(F.sort_array(F.collect_list("s"), asc=False).alias("s")).collect()}
 
