@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import shuffle_partitions
+
 METRICS = ("euclidean", "manhattan", "cosine")
-#: Rows of one side of a block.
-BLOCK_ROWS = 2_000
+#: Bytes of one side of a block, and distances worked out at once.
+BLOCK_BYTES = 64 * 1024 * 1024
+CELLS = 4_000_000
+#: Rows below which a side isn't cut only to occupy more tasks.
+LEAST_ROWS = 500
 
 
 def check_metric(metric: str) -> None:
@@ -59,28 +66,61 @@ def pack(df: DataFrame, id: str, features: list[str]) -> DataFrame:
     return df.select(F.col(f"`{id}`").alias("id"), F.array(*(F.col(f"`{c}`").cast("double") for c in features)).alias("f"))
 
 
-def blocks(left: DataFrame, right: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def block_counts(left: int, right: int, dim: int, tasks: int, rows: int | None = None) -> tuple[int, int]:
+    """Into how many blocks the two sides are cut. A block fits BLOCK_BYTES (or has ``rows``), so the smaller side is in as few as possible and
+    the larger one is copied as seldom; the larger side is cut further until there is a unit for every task."""
+    rows = rows or max(LEAST_ROWS, BLOCK_BYTES // (8 * max(1, dim)))
+    nl, nr = max(1, -(-left // rows)), max(1, -(-right // rows))
+    most = max(1, max(left, right) // min(LEAST_ROWS, rows))
+    if left >= right:
+        return max(nl, min(most, -(-tasks // nr))), nr
+    return nl, max(nr, min(most, -(-tasks // nl)))
+
+
+def _block(n: int):
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
+def _dim(df: DataFrame) -> int:
+    first = df.select(F.size("f")).first()
+    return first[0] if first else 1
+
+
+def blocks(left: DataFrame, right: DataFrame, rows: int | None = None) -> DataFrame:
     """(id, f, own, i, j): both sides cut into blocks, each block of ``left`` (own) beside each of ``right``; a unit (i, j) is a task's."""
-    nl, nr = max(1, -(-left.count() // rows)), max(1, -(-right.count() // rows))
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    a = left.select("id", "f", F.lit(True).alias("own"), mine(nl).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("j"))
-    b = right.select("id", "f", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("i"), mine(nr).alias("j"))
+    nl, nr = block_counts(left.count(), right.count(), _dim(left), shuffle_partitions(left.sparkSession), rows)
+    a = left.select("id", "f", F.lit(True).alias("own"), _block(nl).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("j"))
+    b = right.select("id", "f", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("i"), _block(nr).alias("j"))
     return a.unionByName(b)
 
 
-def nearest_in_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, id_type: str, other_type: str) -> DataFrame:
+def own_blocks(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows of ``df`` (id, f, ...) with own, i, j: blocks of one table beside each other, every two of them once (i <= j). own: whether
+    the row is in block i; in units i = j all are."""
+    tasks = shuffle_partitions(df.sparkSession)
+    n, rows = df.count(), rows or max(LEAST_ROWS, BLOCK_BYTES // (8 * _dim(df)))
+    m = max(1, -(-n // rows), min(n // min(LEAST_ROWS, rows), math.isqrt(2 * tasks)))
+    at = df.withColumn("__b", _block(m)).withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return at.withColumn("own", F.col("__b") <= F.col("__o")).withColumn("i", F.least("__b", "__o")).withColumn("j", F.greatest("__b", "__o")).drop("__b", "__o")
+
+
+def nearest_in_blocks(left: DataFrame, right: DataFrame, k: int, metric: str, id_type: str, other_type: str, rows: int | None = None) -> DataFrame:
     """(id, other, distance): for each row of ``left`` the rows of ``right`` in a block that rank up to k there, ties kept."""
 
-    def near(_, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["own"].to_numpy()
-        a, b = rows[own], rows[~own]
+    def near(_, unit: pd.DataFrame) -> pd.DataFrame:
+        own = unit["own"].to_numpy()
+        a, b = unit[own], unit[~own]
         if not len(a) or not len(b):
             return pd.DataFrame({"id": a["id"].iloc[:0], "other": b["id"].iloc[:0], "distance": np.zeros(0)})
-        d = pairwise(np.vstack(a["f"].to_numpy()), np.vstack(b["f"].to_numpy()), metric)
-        d = np.where(np.isnan(d), np.inf, d)
-        take = min(k, d.shape[1])
-        cut = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-        i, j = np.nonzero((d <= cut * (1 + 1e-12)) & (d < np.inf))
-        return pd.DataFrame({"id": a["id"].to_numpy()[i], "other": b["id"].to_numpy()[j], "distance": d[i, j]})
-
-    return blocks(left, right).groupBy("i", "j").applyInPandas(near, f"id {id_type}, other {other_type}, distance double")
+        x, y, out = np.vstack(a["f"].to_numpy()), np.vstack(b["f"].to_numpy()), []
+        step = max(1, CELLS // len(y))
+        for s in range(0, len(x), step):
+            d = pairwise(x[s : s + step], y, metric)
+            d = np.where(np.isnan(d), np.inf, d)
+            take = min(k, d.shape[1])
+            cut = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
+            i, j = np.nonzero((d <= cut * (1 + 1e-12)) & (d < np.inf))
+            out.append(pd.DataFrame({"id": a["id"].to_numpy()[s + i], "other": b["id"].to_numpy()[j], "distance": d[i, j]}))
+        return pd.concat(out, ignore_index=True)
+
+    return blocks(left, right, rows).groupBy("i", "j").applyInPandas(near, f"id {id_type}, other {other_type}, distance double")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import Workspace
+
 INT = np.iinfo(np.int32)
 
 
@@ -87,19 +89,22 @@ class LSHSampler(MultiBucketLSH):
 
         The sizes are counted before the shuffle and joined back, so a bucket that holds most rows is no single task's.
         """
-        keyed = self._keyed(df, bin_width_idx)
-        sizes = self.compute_bucket_sizes(df, bin_width_idx)
+        return self._weighted(df, inverse_density, bin_width_idx, eps)[0]
+
+    def _weighted(self, df: DataFrame, inverse_density: bool, bin_width_idx: int, eps: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+        """The weighted rows and the buckets' sizes. The buckets are written once, so the projections are worked out once."""
+        keyed = Workspace(df.sparkSession).keep(self._keyed(df, bin_width_idx), "keyed")
+        sizes = keyed.groupBy("bucket_key").agg(F.count("*").alias("bucket_size"))
         weight = 1.0 / (F.col("bucket_size") + eps) if inverse_density else F.col("bucket_size").cast("double")
-        return keyed.join(sizes, "bucket_key").withColumn("weight", weight)
+        return keyed.join(sizes, "bucket_key").withColumn("weight", weight), sizes
 
     def sample(self, df: DataFrame, n_samples: int, inverse_density: bool = True, bin_width_idx: int = 0) -> DataFrame:
         """About ``n_samples`` rows: each of a bucket is taken with min((bucket's weight / all weight) * n_samples / size, 1)."""
-        weighted = self.add_density_weights(df, inverse_density, bin_width_idx)
-        sizes = self.compute_bucket_sizes(df, bin_width_idx)
+        weighted, sizes = self._weighted(df, inverse_density, bin_width_idx)
         share = F.lit(1.0) if inverse_density else F.col("bucket_size") * F.col("bucket_size")
         total = sizes.agg(F.sum(share)).first()[0] or 1.0
         # the weights of a bucket's rows add up to 1, or to the square of its size
-        fraction = F.least(F.lit(1.0), (F.lit(1.0) if inverse_density else F.col("bucket_size") * F.col("bucket_size")) / total * n_samples / F.col("bucket_size"))
+        fraction = F.least(F.lit(1.0), share / total * n_samples / F.col("bucket_size"))
         return weighted.where(F.rand(self.seed if self.seed is not None else 42) < fraction).drop("weight", "bucket_size", "bucket_key")
 
 

@@ -12,22 +12,30 @@ def _cut(df: DataFrame) -> DataFrame:
     return Workspace(df.sparkSession).keep(df)
 
 
-def components_of(links: DataFrame) -> DataFrame:
-    """(id, component) for the ids of ``links`` (a, b), by alternating large-star and small-star steps until only stars are left."""
-    shared_dir(links.sparkSession)
-    e = _cut(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+def _drop(df: DataFrame) -> None:
+    Workspace(df.sparkSession).drop(df)
+
+
+def components_of(links: DataFrame, log: list[int] | None = None) -> DataFrame:
+    """(id, component) for the ids of ``links`` (a, b), by alternating large-star and small-star steps until only stars are left. ``log``
+    receives the number of links at the start of every round."""
+    ws = Workspace(links.sparkSession)
+    e = ws.keep(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
+        # stars: every end has one link to a smaller one, which has none itself
+        n, ends = e.agg(F.count("*"), F.count_distinct("a")).first()
+        if log is not None:
+            log.append(n)
+        if n == ends and e.join(e.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).distinct()
-        e = _cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+        newer = ws.keep(small, "links")
+        ws.drop(e)
+        e = newer
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
@@ -66,11 +74,12 @@ def strongly_connected_components(g, max_iter: int) -> DataFrame:
 
 def _spread(value: DataFrame, edges: DataFrame) -> DataFrame:
     """The least ``c`` among all vertices from which each one is reached."""
-    value = _cut(value)
+    value = written = _cut(value)
     while True:
         sent = edges.join(value.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-        newer = _cut(value.join(sent, "id", "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
-        value = newer.select("id", "c")
+        newer = _cut(value.join(sent, "id", "left").select("id", F.least("c", "m").alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")))
+        _drop(written)
+        value, written = newer.select("id", "c"), newer
         if newer.where("moved").isEmpty():
             return value
 
@@ -83,7 +92,9 @@ def label_propagation(g, max_iter: int) -> DataFrame:
     for _ in range(max_iter):
         votes = both.join(label.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("n"))
         won = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("won"))
-        label = _cut(label.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label")))
+        newer = _cut(label.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label")))
+        _drop(label)
+        label = newer
     return g.vertices.join(label, "id")
 
 
@@ -96,13 +107,14 @@ def page_rank(g, reset: float, source, max_iter: int | None, tol: float | None):
     weighted = g.edges.join(g.outDegrees.withColumnRenamed("id", "src"), "src").withColumn("weight", 1.0 / F.col("outDegree")).drop("outDegree").select(*g.edges.columns, "weight")
     links = _cut(weighted.select("src", "dst", "weight"))
     base = F.lit(1.0) if source is None else (F.col("id") == F.lit(source)).cast("double")
-    rank = _cut(g.vertices.select("id", base.alias("pagerank")))
+    rank = written = _cut(g.vertices.select("id", base.alias("pagerank")))
     step = 0
     while max_iter is None or step < max_iter:
         sent = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("weight")).alias("m"))
         newer = rank.join(sent, "id", "left").select("id", F.col("pagerank").alias("old"), (reset * base + (1.0 - reset) * F.coalesce("m", F.lit(0.0))).alias("pagerank"))
         newer = _cut(newer)
-        rank, step = newer.select("id", "pagerank"), step + 1
+        _drop(written)
+        rank, written, step = newer.select("id", "pagerank"), newer, step + 1
         if tol is not None and (newer.agg(F.max(F.abs(F.col("pagerank") - F.col("old")))).first()[0] or 0.0) <= tol:
             break
     return GraphFrame(g.vertices.join(rank, "id"), weighted)

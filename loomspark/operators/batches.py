@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from loomspark.session import Workspace
 
 
+#: Chunks of one folder.
+FOLDER = 64
+
+
 class BatchGenerator:
     """Batches of a catalog table (or frame), and optionally of its pair table."""
 
@@ -38,7 +42,14 @@ class BatchGenerator:
             start += r["n"]
         shift = self.spark.createDataFrame(rows, "__p int, __s long")
         at = placed.join(F.broadcast(shift), "__p").withColumn("chunk", (F.floor((F.col("__k") + F.col("__s")) / chunk_size) + 1).cast("int"))
-        return ws.keep(at.drop("__r", "__p", "__k", "__s"), "chunks")
+        # folders of FOLDER chunks, so reading one batch opens one folder's files
+        path = ws.path("chunks")
+        at = at.drop("__r", "__p", "__k", "__s")
+        at.withColumn("__folder", F.floor((F.col("chunk") - 1) / FOLDER)).write.partitionBy("__folder").parquet(path)
+        ws.drop(placed)
+        read = self.spark.read.schema(at.withColumn("__folder", F.lit(0).cast("long")).schema).parquet(path)
+        self.folders = read
+        return read.drop("__folder")
 
     def get_df_generator(self, chunk_size: int = 256, idcol: str = "id", num_epoch: int = 4, quadratic: bool = False, seed: int | None = None) -> Iterator[tuple]:
         """(epoch, batch[, pairs]) from epoch 1 on; pairs have their first end in the batch, and with ``quadratic`` the second one too."""
@@ -46,7 +57,7 @@ class BatchGenerator:
             rows = self.split(chunk_size, idcol, None if seed is None else seed + epoch)
             last = rows.agg(F.max("chunk")).first()[0] or 0
             for chunk in range(1, last + 1):
-                batch = rows.where(F.col("chunk") == chunk).drop("chunk")
+                batch = self.folders.where((F.col("__folder") == (chunk - 1) // FOLDER) & (F.col("chunk") == chunk)).drop("chunk", "__folder")
                 if self.adj is None:
                     yield epoch, batch
                     continue

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.distance import check_metric, l2_normalized, pack
+from loomspark.functions.distance import check_metric, l2_normalized, own_blocks, pack
 from loomspark.graph.algorithms import components_of
 from loomspark.operators.knn import with_id
-from loomspark.operators.similarity import SimilarityMatrix
+from loomspark.operators.similarity import unit_pairs
 from loomspark.session import shared_dir
 
 
@@ -52,17 +56,26 @@ class HiClust:
         self.fitted = True
         return self
 
-    def _close(self, now: DataFrame, metric: str, threshold: float, auto: bool, mutual: bool) -> DataFrame:
-        matrix = SimilarityMatrix.of_arrays(now.select("id", "f"), "id", "f")
-        # the scale is at most 1, so a cut by the plain distance would lose pairs: all are scaled first
-        pairs = matrix.create_sim_matrix(metric).withColumnsRenamed({"id_A": "a", "id_B": "b"})
-        w = now.select("id", "w")
-        scaled = pairs.join(w.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-        scaled = scaled.select("a", "b", (F.col("distance") * 2 * F.least("wa", "wb") / (F.col("wa") + F.col("wb"))).alias("distance"))
+    def _close(self, now: DataFrame, metric: str, threshold: float, auto: bool, mutual: bool, block_rows: int | None = None) -> DataFrame:
+        """Pairs up to the threshold. Weights are scaled and pairs cut where the distances are worked out; no other pair leaves its task."""
+        kind = now.schema["id"].dataType.simpleString()
+        units = own_blocks(now.select("id", "f", "w"), block_rows).groupBy("i", "j")
+
+        def sums(_, unit: pd.DataFrame) -> pd.DataFrame:
+            parts = [(len(d), d.sum(), (d * d).sum()) for _, _, d in unit_pairs(unit, metric, None)]
+            return pd.DataFrame([[float(sum(x)) for x in zip(*parts)] if parts else [0.0, 0.0, 0.0]], columns=["n", "s", "q"])
+
         if auto:
-            mean, std = scaled.agg(F.avg("distance"), F.stddev("distance")).first()
-            threshold = threshold if std is None else min(threshold, mean + 3 * std)
-        close = scaled.where(F.col("distance") <= threshold)
+            n, s, q = units.applyInPandas(sums, "n double, s double, q double").agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
+            if n and n > 1:
+                threshold = min(threshold, s / n + 3 * math.sqrt(max(0.0, (q - s * s / n) / (n - 1))))
+        cut = threshold
+
+        def pairs(_, unit: pd.DataFrame) -> pd.DataFrame:
+            found = [pd.DataFrame({"a": a, "b": b, "distance": d}) for a, b, d in unit_pairs(unit, metric, cut)]
+            return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": unit["id"].iloc[:0], "b": unit["id"].iloc[:0], "distance": np.zeros(0)})
+
+        close = units.applyInPandas(pairs, f"a {kind}, b {kind}, distance double")
         if mutual:
             both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
             best = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where("r = 1").select("a", "b", "distance")

@@ -47,24 +47,27 @@ class KNN:
         self.features = features or [c for c in self.train.columns if c not in (idcol, self.y)]
         return self
 
-    def neighbours(self, pred_df: DataFrame, idcol: str = "index_test", n_neighbors: int = 10, metric: str = "euclidean") -> DataFrame:
-        """(idcol, train id, distance, rank): the rows that rank up to n_neighbors, ties kept. Features are taken by name, in train order."""
+    def neighbours(self, pred_df: DataFrame, idcol: str = "index_test", n_neighbors: int = 10, metric: str = "euclidean", leave_out_self: bool = False) -> DataFrame:
+        """(idcol, train id, distance, rank): the rows that rank up to n_neighbors, ties kept. Features are taken by name, in train order.
+        ``leave_out_self``: a row with the query's own id is no neighbour."""
         check_metric(metric)
         if self.train is None:
             raise RuntimeError("fit comes first")
         whole = lambda df: df.where(~F.exists("f", lambda x: x.isNull() | F.isnan(x)))
         test = with_id(pred_df, idcol)
         kinds = [df.schema[c].dataType.simpleString() for df, c in ((test, idcol), (self.train, self.id))]
-        near = nearest_in_blocks(whole(pack(test, idcol, self.features)), whole(pack(self.train, self.id, self.features)), n_neighbors, metric, *kinds)
+        near = nearest_in_blocks(whole(pack(test, idcol, self.features)), whole(pack(self.train, self.id, self.features)), n_neighbors + leave_out_self, metric, *kinds)
+        if leave_out_self:
+            near = near.where("id <> other")
         w = Window.partitionBy("id").orderBy(F.round("distance", 9))
         return near.withColumn("rank", F.rank().over(w)).where(F.col("rank") <= n_neighbors).select(F.col("id").alias(idcol), F.col("other").alias(self.id), "distance", "rank")
 
-    def predict(self, pred_df: DataFrame, pred_df_window_size: int | None = None, idcol: str = "index_test", n_neighbors: int = 10, metric: str = "euclidean", weighted: bool = True) -> DataFrame:
+    def predict(self, pred_df: DataFrame, pred_df_window_size: int | None = None, idcol: str = "index_test", n_neighbors: int = 10, metric: str = "euclidean", weighted: bool = True, leave_out_self: bool = False) -> DataFrame:
         """Classification: idcol, y, metric (the winner's weight, or votes; ties to the least label). Regression: idcol, y.
 
         A neighbour weighs one over its squared distance, 1 if that is 0. Rows with null or NaN features get no prediction.
         """
-        near = self.neighbours(pred_df, idcol, n_neighbors, metric)
+        near = self.neighbours(pred_df, idcol, n_neighbors, metric, leave_out_self)
         weight = F.when(F.col("distance") == 0, 1.0).otherwise(F.try_divide(F.lit(1.0), F.col("distance") * F.col("distance"))) if weighted else F.lit(1.0)
         labelled = near.join(self.train.select(self.id, F.col(self.y).alias("y")), self.id).withColumn("w", weight)
         if self.task == "regression":

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of the clusters' sums that a row is compared with at once; up to this size they are broadcast.
+BLOCK_BYTES = 16 * 1024 * 1024
+
+
 def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -43,14 +47,19 @@ class Indices:
         rows = self._packed(df)
         ks = [F.get("f", F.lit(k)) for k in range(len(self.features))]
         sums = rows.groupBy(F.col(self.cluster).alias("c")).agg(F.count("*").alias("n"), F.array(*map(F.sum, ks)).alias("y"), F.sum(_dot("f", "f")).alias("p"))
-        every = sums.agg(F.collect_list(F.struct("c", "n", "y", "p")).alias("all"))  # one entry per cluster
-        at = rows.select(F.col(self.cluster).alias("own"), "f", _dot("f", "f").alias("xx")).join(F.broadcast(every))
+        # the clusters are cut into blocks of BLOCK_BYTES; every row meets each block, and the least of the blocks counts
+        n = max(1, -(-sums.count() * 8 * (len(self.features) + 3) // BLOCK_BYTES))
+        every = sums.groupBy(F.pmod(F.xxhash64("c"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("c", "n", "y", "p")).alias("all"))
+        at = rows.select(F.col(self.cluster).alias("own"), "f", _dot("f", "f").alias("xx")).withColumn("row", F.monotonically_increasing_id())
+        at = at.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(F.broadcast(every) if n == 1 else every, "block")
         total = lambda s: F.col("xx") * s["n"] + s["p"] - 2.0 * _dot(F.col("f"), s["y"])
-        mine = F.element_at(F.filter("all", lambda s: s["c"] == F.col("own")), 1)
+        mine = F.try_element_at(F.filter("all", lambda s: s["c"] == F.col("own")), F.lit(1))
         a = total(mine) / F.when(mine["n"] > 1, mine["n"] - 1)
         b = F.array_min(F.transform(F.filter("all", lambda s: s["c"] != F.col("own")), lambda s: total(s) / s["n"]))
-        per = at.select(F.when(mine["n"] > 1, F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))).otherwise(0.0).alias("s"))
-        return per.agg(F.avg("s").alias("silhouette"))
+        per = at.select("row", a.alias("a"), b.alias("b"), mine["n"].alias("n"))
+        if n > 1:
+            per = per.groupBy("row").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("n").alias("n"))
+        return per.agg(F.avg(F.when(F.col("n") > 1, F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).otherwise(0.0)).alias("silhouette"))
 
     def balanced_sample(self, df: DataFrame, sample_size: int | None = None, sample_frac: float | None = None, seed: int = 42) -> DataFrame:
         """From every cluster about ``sample_size`` rows, or the part ``sample_frac``; the size wins; without either all rows."""

@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.distance import blocks, check_metric, pack, pairwise
+from loomspark.functions.distance import CELLS, check_metric, own_blocks, pack, pairwise
 from loomspark.operators.knn import with_id
 
 
+def unit_pairs(unit: pd.DataFrame, metric: str, most: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lesser id, greater id, distance) of a unit's pairs, some rows at a time. With a column w the distance is scaled by 2 * min(w) / (w + w)."""
+    own, within = unit["own"].to_numpy(), unit["i"].iloc[0] == unit["j"].iloc[0]
+    a, b = unit[own], unit if within else unit[~own]
+    if not len(a) or not len(b):
+        return
+    x, y, ia, ib = np.vstack(a["f"].to_numpy()), np.vstack(b["f"].to_numpy()), a["id"].to_numpy(), b["id"].to_numpy()
+    step = max(1, CELLS // len(y))
+    for s in range(0, len(x), step):
+        d = pairwise(x[s : s + step], y, metric)
+        if "w" in unit:
+            wa, wb = a["w"].to_numpy()[s : s + step, None], b["w"].to_numpy()[None]
+            d = d * 2 * np.minimum(wa, wb) / (wa + wb)
+        keep = ia[s : s + step, None] < ib[None] if within else ia[s : s + step, None] != ib[None]
+        if most is not None:
+            keep &= d <= most
+        i, j = np.nonzero(keep)
+        p, q = ia[s + i], ib[j]
+        turned = p > q
+        yield np.where(turned, q, p), np.where(turned, p, q), d[i, j]
+
+
 class SimilarityMatrix:
     """``SimilarityMatrix(df).prep().create_sim_matrix()``."""
 
@@ -32,7 +56,7 @@ class SimilarityMatrix:
         out.packed = df.select(F.col(idcol).alias("id"), F.col(features).cast("array<double>").alias("f"))
         return out
 
-    def create_sim_matrix(self, metric: str = "euclidean", most: float | None = None) -> DataFrame:
+    def create_sim_matrix(self, metric: str = "euclidean", most: float | None = None, block_rows: int | None = None) -> DataFrame:
         """(<id>_A, <id>_B, distance) with A < B; only pairs up to ``most`` apart, if given. Rows with null or NaN features are in none."""
         check_metric(metric)
         if self.packed is None:
@@ -40,19 +64,10 @@ class SimilarityMatrix:
         rows = self.packed.where(F.col("id").isNotNull() & ~F.exists("f", lambda x: x.isNull() | F.isnan(x)))
 
         def pairs(_, unit: pd.DataFrame) -> pd.DataFrame:
-            own = unit["own"].to_numpy()
-            a, b = unit[own], unit[~own]
-            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-            if not len(a) or not len(b):
-                return pd.DataFrame({"a": ia[:0], "b": ib[:0], "distance": np.zeros(0)})
-            d = pairwise(np.vstack(a["f"].to_numpy()), np.vstack(b["f"].to_numpy()), metric)
-            keep = ia[:, None] < ib[None]
-            if most is not None:
-                keep &= d <= most
-            i, j = np.nonzero(keep)
-            return pd.DataFrame({"a": ia[i], "b": ib[j], "distance": d[i, j]})
-
-        found = blocks(rows, rows).groupBy("i", "j").applyInPandas(pairs, f"a {self.id_type}, b {self.id_type}, distance double")
+            found = [pd.DataFrame({"a": a, "b": b, "distance": d}) for a, b, d in unit_pairs(unit, metric, most)]
+            return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"a": unit["id"].iloc[:0], "b": unit["id"].iloc[:0], "distance": np.zeros(0)})
+
+        found = own_blocks(rows, block_rows).groupBy("i", "j").applyInPandas(pairs, f"a {self.id_type}, b {self.id_type}, distance double")
         self.matrix = found.select(F.col("a").alias(f"{self.id}_A"), F.col("b").alias(f"{self.id}_B"), "distance")
         return self.matrix
 

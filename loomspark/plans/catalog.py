@@ -68,9 +68,10 @@ def _knn(metric: str, weighted: bool, regress: bool) -> Callable[[SparkSession,
         rows = _vectors(spark, sf_dir).withColumnRenamed("label", "y")
         if regress:
             rows = rows.withColumn("y", F.col("y").cast("double"))
-        train = rows.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "index_train")
+        # every twentieth row asks, all rows but itself may answer
+        train = rows.withColumnRenamed("vec_id", "index_train")
         test = rows.where("vec_id % 20 = 0").drop("y").withColumnRenamed("vec_id", "index_test")
-        out = KNN(train).fit().predict(test, n_neighbors=10, metric=metric, weighted=weighted)
+        out = KNN(train).fit().predict(test, n_neighbors=10, metric=metric, weighted=weighted, leave_out_self=True)
         return out.withColumn("y", F.round("y", 6)) if regress else out.withColumn("metric", F.round("metric", 6)) if weighted else out
 
     return query
@@ -88,7 +89,7 @@ def _knn_sql(metric: str, weighted: bool, regress: bool) -> str:
     near = f"""
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
         d AS (SELECT a.vec_id AS index_test, b.label AS y, {_DISTANCES[metric]} AS d
-              FROM v a, v b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0),
+              FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
         n AS (SELECT *, {w} AS w FROM d QUALIFY rank() OVER (PARTITION BY index_test ORDER BY round(d, 9)) <= 10)"""
     if regress:
         return near + " SELECT index_test, round(sum(y * w) / sum(w), 6) AS y FROM n GROUP BY index_test"
@@ -259,20 +260,41 @@ _GRAPH = """e AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, count(*
           UNION ALL SELECT s_suppkey * 2 + 1, s_name, s_nationkey FROM supplier)"""
 
 
-def _supply(spark: SparkSession, sf_dir: str):
-    """A sparser one with cycles: each supplier and customer points to those of its nation next in key order, and suppliers back."""
+def _trade(spark: SparkSession, sf_dir: str):
+    """The same customers and suppliers, with an edge to the supplier for what was bought and one back for what was returned."""
     from loomspark.graph import GraphFrame
 
-    g = _graph(spark, sf_dir)
-    nxt = F.lead("id").over(Window.partitionBy("nation", F.col("id") % 2).orderBy("id"))
-    chain = g.vertices.select(F.col("id").alias("src"), nxt.alias("dst")).where("dst IS NOT NULL AND src % 14 < 12")
-    back = g.vertices.where("id % 2 = 1 AND id % 6 = 1").select(F.col("id").alias("src"), (F.col("id") - F.lit(1)).alias("dst"))
-    return GraphFrame(g.vertices, chain.unionByName(back))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c, d = (F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")
+    bought = lines.select(c, d)
+    returned = lines.where("l_returnflag = 'R'").select((F.col("l_suppkey") * 2 + 1).alias("src"), (F.col("o_custkey") * 2).alias("dst"))
+    return GraphFrame(_graph(spark, sf_dir).vertices, bought.unionByName(returned).distinct())
+
+
+def _domestic(spark: SparkSession, sf_dir: str):
+    """The trade between customers and suppliers of one nation."""
+    from loomspark.graph import GraphFrame
 
+    g = _trade(spark, sf_dir)
+    nation = g.vertices.select("id", "nation")
+    e = g.edges.join(nation.withColumnsRenamed({"id": "src", "nation": "a"}), "src").join(nation.withColumnsRenamed({"id": "dst", "nation": "b"}), "dst")
+    return GraphFrame(g.vertices, e.where("a = b").select("src", "dst"))
+
+
+def _baskets(spark: SparkSession, sf_dir: str):
+    """Parts that stand in one order: an order has a few line items, so it has a few pairs."""
+    from loomspark.graph import GraphFrame
 
-_SUPPLY = f"""{_GRAPH.replace("e AS (SELECT o_custkey", "e0 AS (SELECT o_custkey")},
-    e AS (SELECT id AS src, n AS dst FROM (SELECT id, lead(id) OVER (PARTITION BY nation, id % 2 ORDER BY id) AS n FROM v) WHERE n IS NOT NULL AND id % 14 < 12
-          UNION ALL SELECT id, id - 1 FROM v WHERE id % 2 = 1 AND id % 6 = 1)"""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    pairs = lines.join(lines.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
+    return GraphFrame(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), pairs)
+
+
+_TRADE = """v AS (SELECT c_custkey * 2 AS id, c_name AS name, c_nationkey AS nation FROM customer
+          UNION ALL SELECT s_suppkey * 2 + 1, s_name, s_nationkey FROM supplier),
+    e AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+          UNION SELECT l_suppkey * 2 + 1, o_custkey * 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')"""
+_DOMESTIC = f"{_TRADE}, d AS (SELECT src, dst FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.nation = b.nation)"
 
 
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,20 +318,20 @@ def graph_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_motif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _supply(spark, sf_dir).find("(a)-[]->(b); (b)-[]->(c); !(a)-[]->(c)")
+    m = _domestic(spark, sf_dir).find("(a)-[]->(b); (b)-[]->(c); !(a)-[]->(c)")
     return m.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"))
 
 
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _supply(spark, sf_dir).connectedComponents().select("id", "component")
+    return _trade(spark, sf_dir).connectedComponents().select("id", "component")
 
 
 def graph_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _supply(spark, sf_dir).stronglyConnectedComponents(20).groupBy("component").agg(F.count("*").alias("n"))
+    return _domestic(spark, sf_dir).stronglyConnectedComponents(20).select("id", "component")
 
 
 def graph_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _supply(spark, sf_dir).labelPropagation(2).select("id", "label")
+    return _trade(spark, sf_dir).labelPropagation(2).select("id", "label")
 
 
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,33 +339,30 @@ def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _supply(spark, sf_dir).parallelPersonalizedPageRank(sourceIds=[2, 3], maxIter=3)
+    g = _trade(spark, sf_dir).parallelPersonalizedPageRank(sourceIds=[2, 3], maxIter=3)
     return g.vertices.select("id", F.transform("pageranks", lambda x: F.round(x, 6)).alias("pageranks"))
 
 
 def graph_pregel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.graph import Pregel
 
-    p = _supply(spark, sf_dir).pregel.setMaxIter(4).withVertexColumn("low", F.col("id"), F.least(F.col("low"), Pregel.msg()))
+    p = _trade(spark, sf_dir).pregel.setMaxIter(4).withVertexColumn("low", F.col("id"), F.least(F.col("low"), Pregel.msg()))
     return p.sendMsgToDst(Pregel.src("low")).aggMsgs(F.min(Pregel.msg())).run().select("id", "low")
 
 
 def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _supply(spark, sf_dir).shortestPaths([2, 3])
+    out = _trade(spark, sf_dir).shortestPaths([2, 3])
     return out.select("id", F.explode("distances").alias("landmark", "d"))
 
 
 def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _graph(spark, sf_dir).bfs("id = 2", "nation = 3 AND id % 2 = 1")
-    return b.select(F.col("from.id").alias("a"), F.col("to.id").alias("b"))
+    """The shortest ways from a customer to the customers of one nation, over suppliers that took goods back."""
+    b = _trade(spark, sf_dir).bfs("id = 2", "nation = 3 AND id % 2 = 0 AND id <> 2")
+    return b.select(F.col("from.id").alias("a"), F.col("v1.id").alias("b"), F.col("to.id").alias("c"))
 
 
 def graph_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomspark.graph import GraphFrame
-
-    g = _supply(spark, sf_dir)
-    two = g.find("(a)-[]->(b); (b)-[]->(c)").select(F.col("a.id").alias("src"), F.col("c.id").alias("dst"))
-    return GraphFrame(g.vertices, g.edges.unionByName(two)).triangleCount().select("id", "count")
+    return _baskets(spark, sf_dir).triangleCount().select("id", "count")
 
 
 def graph_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,6 +396,21 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Indices(["x0"], "label").balanced_sample(rows, sample_size=10).select("vec_id", "label")
 
 
+#: Every item with its way up: to a root, or to the first item on a loop and once round it.
+_TREE = """WITH RECURSIVE n AS (SELECT id, min(CASE WHEN parent <> 0 AND parent IN (SELECT id FROM hn_items) THEN parent END) AS parent FROM hn_items WHERE id IS NOT NULL GROUP BY id),
+    up(id, way, nxt) AS (SELECT id, [id], parent FROM n UNION ALL SELECT up.id, list_append(way, nxt), n.parent FROM up JOIN n ON n.id = up.nxt WHERE NOT list_contains(way, nxt)),
+    ends AS (SELECT id, way, nxt FROM up QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(way) DESC) = 1),
+    loops AS (SELECT id, way, nxt, CASE WHEN nxt IS NOT NULL THEN list_position(way, nxt) END AS enters FROM ends),
+    placed AS (SELECT id, way, nxt, enters, nxt IS NOT NULL AS cyclic, CASE WHEN nxt IS NULL THEN list_reverse(way) ELSE list_reverse(way[1:enters]) END AS path,
+                      CASE WHEN nxt IS NULL THEN way[-1] ELSE list_min(way[enters:]) END AS root_id FROM loops),
+    spans AS (SELECT a AS id, count(*) AS span FROM (SELECT unnest(path) AS a FROM placed) GROUP BY a),
+    rings AS (SELECT root_id, sum(span) AS whole FROM placed JOIN spans USING (id) WHERE cyclic AND enters = 1 GROUP BY root_id),
+    tree AS (SELECT placed.id, n.parent, root_id, CASE WHEN NOT cyclic THEN CAST(len(path) - 1 AS BIGINT) END AS depth,
+                    CAST(CASE WHEN enters = 1 THEN whole ELSE span END AS BIGINT) AS size, span, cyclic,
+                    row_number() OVER (PARTITION BY cyclic, path[1] ORDER BY path) - 1 AS pre,
+                    CASE WHEN cyclic THEN path[1] END AS loop_id, CAST(CASE WHEN enters = 1 THEN list_position(way, root_id) - 1 END AS BIGINT) AS loop_at
+             FROM placed JOIN n USING (id) JOIN spans USING (id) LEFT JOIN rings USING (root_id))"""
+
 _FORMS = [(m, w) for m in ("euclidean", "manhattan", "cosine") for w in (True, False)]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
     {"knn_classify" + ("" if w else "_unweighted") + ("" if m == "euclidean" else f"_{m}"): _knn(m, w, False) for m, w in _FORMS}
@@ -439,18 +473,49 @@ SQL: dict[str, str] = (
             SELECT id, nation FROM v WHERE id IN (SELECT src FROM f UNION SELECT dst FROM f)""",
         "graph_messages": f"""WITH {_GRAPH} SELECT id, CAST(sum(m) AS BIGINT) AS total FROM (
             SELECT src AS id, d.nation AS m FROM e JOIN v d ON d.id = dst UNION ALL SELECT dst, s.nation * n FROM e JOIN v s ON s.id = src) GROUP BY id""",
-        "graph_motif": f"WITH {_SUPPLY} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src WHERE NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst)",
+        "graph_motif": f"WITH {_DOMESTIC} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM d x JOIN d y ON x.dst = y.src WHERE NOT EXISTS (SELECT 1 FROM d z WHERE z.src = x.src AND z.dst = y.dst)",
         "graph_pagerank": f"""WITH {_GRAPH}, w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e),
             r0 AS (SELECT id, 1.0::DOUBLE AS r FROM v), r1 AS ({_RANK.format("r0")}), r2 AS ({_RANK.format("r1")}), r3 AS ({_RANK.format("r2")})
             SELECT id, round(r, 6) AS pagerank FROM r3""",
-        "graph_pregel": f"WITH {_SUPPLY}, " + ", ".join(f"l{k + 1} AS (SELECT v.id, least(v.low, min(s.low)) AS low FROM {'(SELECT id, id AS low FROM v)' if not k else f'l{k}'} v LEFT JOIN e ON e.dst = v.id LEFT JOIN {'(SELECT id, id AS low FROM v)' if not k else f'l{k}'} s ON s.id = e.src GROUP BY v.id, v.low)" for k in range(4)) + " SELECT id, low FROM l4",
-        "graph_bfs": f"""WITH {_GRAPH} SELECT 2::BIGINT AS a, dst AS b FROM e JOIN v ON v.id = dst WHERE src = 2 AND nation = 3 AND dst % 2 = 1""",
-        "graph_paths": f"""WITH RECURSIVE {_SUPPLY}, r(id, landmark, d) AS (
-                SELECT id, id, 0 FROM v WHERE id IN (2, 3) UNION SELECT e.src, r.landmark, r.d + 1 FROM r JOIN e ON e.dst = r.id WHERE r.d < 200)
-            SELECT id, landmark, min(d) AS d FROM r GROUP BY id, landmark""",
-        "graph_components": f"""WITH RECURSIVE {_SUPPLY}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e),
-            r(id, c) AS (SELECT id, id FROM v UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.id WHERE r.c < b.y)
-            SELECT id, min(c) AS component FROM r GROUP BY id""",
+        "graph_pregel": f"WITH {_TRADE}, l0 AS (SELECT id, id AS low FROM v), " + ", ".join(f"l{k + 1} AS (SELECT v.id, least(v.low, min(s.low)) AS low FROM l{k} v LEFT JOIN e ON e.dst = v.id LEFT JOIN l{k} s ON s.id = e.src GROUP BY v.id, v.low)" for k in range(4)) + " SELECT id, low FROM l4",
+        "graph_labels": f"WITH {_TRADE}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), l0 AS (SELECT id, id AS label FROM v), " + ", ".join(f"""
+            c{k} AS (SELECT dst AS id, label, count(*) AS n FROM b JOIN l{k} ON l{k}.id = src GROUP BY ALL),
+            w{k} AS (SELECT id, label FROM c{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1),
+            l{k + 1} AS (SELECT l{k}.id, coalesce(w{k}.label, l{k}.label) AS label FROM l{k} LEFT JOIN w{k} USING (id))""" for k in range(2)) + " SELECT id, label FROM l2",
+        "graph_ppr": f"WITH {_TRADE}, w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e), r0 AS (SELECT id, k, CASE WHEN id = k THEN 1.0::DOUBLE ELSE 0 END AS r FROM v, (VALUES (2), (3)) t(k)), " + ", ".join(f"""
+            r{k + 1} AS (SELECT a.id, a.k, CASE WHEN a.id = a.k THEN 0.15 ELSE 0 END + 0.85 * coalesce(sum(b.r * w.w), 0) AS r
+                FROM r0 a LEFT JOIN w ON w.dst = a.id LEFT JOIN r{k} b ON b.id = w.src AND b.k = a.k GROUP BY a.id, a.k)""" for k in range(3)) + " SELECT id, [max(CASE WHEN k = 2 THEN round(r, 6) END), max(CASE WHEN k = 3 THEN round(r, 6) END)] AS pageranks FROM r3 GROUP BY id",
+        "graph_bfs": f"""WITH {_TRADE}, t AS (SELECT id FROM v WHERE nation = 3 AND id % 2 = 0 AND id <> 2)
+            SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.src = x.dst JOIN t ON t.id = y.dst
+            WHERE x.src = 2 AND NOT EXISTS (SELECT 1 FROM e JOIN t ON t.id = e.dst WHERE e.src = 2)""",
+        "graph_paths": f"""WITH RECURSIVE {_TRADE}, r(id, landmark, d) USING KEY (id, landmark) AS (
+                SELECT id, id, 0 FROM v WHERE id IN (2, 3)
+                UNION SELECT e.src, r.landmark, min(r.d) + 1 FROM r JOIN e ON e.dst = r.id LEFT JOIN recurring.r o ON o.id = e.src AND o.landmark = r.landmark
+                WHERE o.id IS NULL GROUP BY e.src, r.landmark)
+            SELECT id, landmark, d FROM r""",
+        "graph_components": f"""WITH RECURSIVE {_TRADE}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e),
+            r(id, c) USING KEY (id) AS (SELECT id, id FROM v
+                UNION SELECT b.y, min(r.c) FROM r JOIN b ON b.x = r.id JOIN recurring.r o ON o.id = b.y WHERE r.c < o.c GROUP BY b.y)
+            SELECT id, c AS component FROM r""",
+        "graph_scc": f"""WITH RECURSIVE {_DOMESTIC}, r(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, d.dst FROM r JOIN d ON d.src = r.b)
+            SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""",
+        "graph_triangles": """WITH e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey),
+            t AS (SELECT p.x AS a, p.y AS b, q.y AS c FROM e p JOIN e q ON q.x = p.y JOIN e r ON r.x = p.x AND r.y = q.y),
+            n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY id)
+            SELECT p_partkey AS id, coalesce(n, 0) AS count FROM part LEFT JOIN n ON id = p_partkey""",
+        "p6_found": f"{_TREE} SELECT id, root_id FROM tree",
+        "p6_tree": f"{_TREE} SELECT id, parent, root_id, depth, size, pre, pre + span - 1 AS last, cyclic, loop_id, loop_at FROM tree",
+        "p6_paths": f"{_TREE} SELECT id, path FROM placed",
+        "cluster_indices": """
+            WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
+            c AS (SELECT label, k, avg(x) AS c, count(*) AS n FROM x GROUP BY ALL), m AS (SELECT k, avg(x) AS m FROM x GROUP BY k),
+            t AS (SELECT sum((x - c) ** 2) AS wss, sum((c - m) ** 2) AS bss, count(DISTINCT vec_id)::DOUBLE AS n, count(DISTINCT label)::DOUBLE AS k FROM x JOIN c USING (label, k) JOIN m USING (k)),
+            v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+            d AS (SELECT a.vec_id, a.label AS own, b.label, avg(list_distance(a.e, b.e) ** 2) AS far, sum(list_distance(a.e, b.e) ** 2) AS whole, count(*) AS n FROM v a, v b GROUP BY ALL),
+            s AS (SELECT vec_id, max(CASE WHEN label = own THEN whole / greatest(n - 1, 1) END) AS a, min(CASE WHEN label <> own THEN far END) AS b FROM d GROUP BY vec_id)
+            SELECT 'wss' AS name, round(wss, 6) AS value FROM t UNION ALL SELECT 'calinski_harabasz', round((bss / (k - 1)) / (wss / (n - k)), 6) FROM t
+            UNION ALL SELECT 'wb_index', round(wss / bss, 6) FROM t UNION ALL SELECT 'xu_index', round(wss * ln(k) / n + k * ln(n), 6) FROM t
+            UNION ALL SELECT 'silhouette', round(avg((b - a) / greatest(a, b)), 6) FROM s""",
         "batches": "SELECT CAST(floor((row_number() OVER () - 1) / 256) + 1 AS INTEGER) AS chunk, 1 AS one, c_custkey FROM customer",
     }
 )

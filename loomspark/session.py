@@ -87,6 +87,7 @@ class connected:
         return self.spark
 
     def __exit__(self, *exc) -> None:
+        clear_scratch(self.spark)
         delete_checkpoints(self.spark)
         self.spark.stop()
 
@@ -102,6 +103,16 @@ def delete_checkpoints(spark: SparkSession) -> None:
         delete_path(spark, path)
 
 
+#: Folders of the workspaces of this process.
+_ROOTS: set[str] = set()
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that operators have written to the shared folder; frames that still read them become unusable."""
+    while _ROOTS:
+        delete_path(spark, _ROOTS.pop())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, and only where that is unset a folder of this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -129,6 +140,7 @@ class Workspace:
 
     def path(self, name: str) -> str:
         self.made += 1
+        _ROOTS.add(self.root)
         return f"{self.root}/{name}-{self.made}"
 
     def keep(self, df: DataFrame, name: str = "t", **options) -> DataFrame:

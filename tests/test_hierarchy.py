@@ -77,5 +77,21 @@ def test_paths_and_descendants_of_loops(spark, range_nodes):
     assert {r.id: r["size"] for r in tree.collect()} == {i: 1 + sum(a == i for a, _, _ in want) for i in parent}
 
 
+def test_shuffled_chain_needs_few_rounds(spark):
+    """A chain whose ids don't follow it, a caterpillar, and a cycle with a long tail: rounds grow with the logarithm of the nodes."""
+    n = 30_000
+    place = lambda k: (k * 7919 + 13) % 100_003 + 1
+    chain = [(place(k), place(k - 1) if k else None) for k in range(n)]
+    legs = [(200_000 + k, place(k)) for k in range(0, n, 100)]
+    ring = [(300_000 + k, 300_000 + (k * 17 + 17) % 51) for k in range(51)] + [(400_000 + k * 31 % 997, 400_000 + (k - 1) * 31 % 997 if k else 300_000) for k in range(900)]
+    log = []
+    rows = {r.id: r for r in hierarchy(spark.createDataFrame(chain + legs + ring, "id long, parent long"), range_nodes=300, log=log).collect()}
+    assert len(log) < 20 and len(rows) == n + len(legs) + 51 + 900
+    assert all(rows[place(k)].depth == k and rows[place(k)].root_id == place(0) for k in range(0, n, 997))
+    assert rows[place(0)]["size"] == n + len(legs) and rows[place(n - 1)]["size"] == 1 and rows[200_000].depth == 1
+    assert {r.pre for r in rows.values() if r.root_id == place(0)} == set(range(n + len(legs)))
+    assert all(rows[i].cyclic for i in (300_000, 300_050, 400_000)) and rows[400_000].loop_id == 300_000
+
+
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], "id long, parent long")).count() == 0

@@ -49,6 +49,46 @@ def test_similarity_and_degrees(spark):
     assert n[(1, 2)] == pytest.approx(5 / math.sqrt(5 * (5 + math.sqrt(18))))
 
 
+def test_blocks_of_both_sides(spark):
+    """Several blocks give what one gives: neighbours, pairs, scaled pairs and the automatic threshold."""
+    from loomspark.functions.distance import block_counts, nearest_in_blocks, own_blocks, pack
+
+    rng = np.random.RandomState(2)
+    x = rng.randn(150, 5)
+    df = spark.createDataFrame([(i, *r.tolist()) for i, r in enumerate(x)], "id long, " + ", ".join(f"x{k} double" for k in range(5)))
+    rows = pack(df, "id", [f"x{k}" for k in range(5)])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    near = nearest_in_blocks(rows.where("id < 20"), rows, 3, "euclidean", "long", "long", rows=40).toPandas()
+    got = {i: set(g.nsmallest(3, "distance").other) for i, g in near.groupby("id")}
+    assert got == {i: set(np.argsort(d[i])[:3]) for i in range(20)}
+    matrix = SimilarityMatrix(df).prep().create_sim_matrix("euclidean", most=2.0, block_rows=40).toPandas()
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if d[i, j] <= 2.0}
+    assert {(a, b) for a, b in zip(matrix.id_A, matrix.id_B)} == want and len(matrix) == len(want)
+    assert np.allclose(matrix.distance, d[matrix.id_A, matrix.id_B])
+    weighted = rows.withColumn("w", (F.col("id") % 3 + 1).cast("double"))
+    w = np.arange(150) % 3 + 1.0
+    scaled = d * 2 * np.minimum(w[:, None], w[None]) / (w[:, None] + w[None])
+    upper = scaled[np.triu_indices(150, 1)]
+    close = HiClust(df, "id")._close(weighted, "euclidean", 99.0, True, False, 40).toPandas()
+    assert len(close) == (upper <= upper.mean() + 3 * upper.std(ddof=1)).sum() < len(upper)
+    assert block_counts(10**9, 1000, 64, 200) == (7630, 1) and own_blocks(rows, 40).select("i", "j").distinct().count() == 10
+
+
+def test_lsh_projections_are_drawn_once(spark):
+    """The weights and the sample come from one run of the projections, and sizes agree with the buckets."""
+    df = spark.range(200).select("id", F.rand(1).alias("x0"), F.rand(2).alias("x1"))
+    s = LSHSampler(["x0", "x1"], num_hashes=2, bin_widths=[0.5], seed=1)
+    rows = s.add_density_weights(df).toPandas()
+    assert (rows.groupby("bucket_key").size()[rows.bucket_key].to_numpy() == rows.bucket_size).all() and len(rows) == 200
+
+
+def test_silhouette_in_blocks(spark, monkeypatch):
+    df = spark.range(60).select("id", (F.col("id") % 5).alias("cluster"), (F.col("id") % 5 + F.rand(3)).alias("x"))
+    whole = Indices(["x"]).silhouette(df).first()[0]
+    monkeypatch.setattr("loomspark.operators.quality.BLOCK_BYTES", 64)
+    assert Indices(["x"]).silhouette(df).first()[0] == pytest.approx(whole)
+
+
 def test_clustering_levels(spark):
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate([0, 0.05, 0.1, 5, 5.05, 9])], "index_train long, x double")
     c = HiClust(df)
