@@ -154,8 +154,35 @@ def _candidates(term: np.ndarray, key: np.ndarray, anchors: Anchors, lengths: np
     return (found[:, 0], found[:, 1], found[:, 2]) if len(found) else (np.zeros(0, dtype=np.int64),) * 3
 
 
+def _screened(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, off: np.ndarray, item: np.ndarray, words: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which candidates may hold: SPAN words in a row of the item, all but six of which stand near the offset. flat: the words of all documents
+    of a segment, a candidate's from begin to end; words: those of all items, an item's from first on. Short items pass."""
+    out = lengths[item] < SPAN
+    long = np.flatnonzero(~out)
+    for k in range(0, len(long), 10_000):
+        part = long[k : k + 10_000]
+        n = lengths[item[part]]
+        stop = np.cumsum(n)
+        start = stop - n
+        of = np.repeat(np.arange(len(part)), n)
+        i = np.arange(stop[-1]) - start[of]
+        want = words[first[item[part]][of] + i]
+        at = begin[part][of] + off[part][of] + i
+        low, high = begin[part][of], end[part][of]
+        seen = np.zeros(len(of), dtype=bool)
+        for shift in range(-DRIFT - 1, DRIFT + 2):
+            where = at + shift
+            seen |= (where >= low) & (where < high) & (flat[np.clip(where, 0, len(flat) - 1)] == want)
+        total = np.r_[0, np.cumsum(seen)]
+        begins = np.flatnonzero(i + SPAN <= n[of])
+        good = total[begins + SPAN] - total[begins] >= SPAN - DRIFT
+        out[part[np.unique(of[begins[good]])]] = True
+    return out
+
+
 def _search(anchors: Anchors, items: list[list[int]], ids: list):
     arrays, lengths = [np.array(x, dtype=np.int64) for x in items], np.array([len(x) for x in items])
+    every, first = np.concatenate(arrays).astype(np.int32), np.r_[0, np.cumsum(lengths)[:-1]]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,18 +192,17 @@ def _search(anchors: Anchors, items: list[list[int]], ids: list):
                 key = (number.astype(np.int64) << 32) + pos
                 at = np.argsort(key, kind="stable")
                 term, key, pos = term[at], key[at], pos[at]
+                # the words of each document, as far as the items have them, one after another
                 start = np.searchsorted(key >> 32, np.arange(len(named) + 1))
+                end = np.cumsum(pos[start[1:] - 1].astype(np.int64) + 1)
+                begin = np.r_[0, end[:-1]]
+                flat = np.full(end[-1] if len(end) else 0, -1, dtype=np.int32)
+                flat[begin[key >> 32] + pos] = term
                 found: set[tuple[int, int]] = set()
-                held, text = -1, None
-                for n, k, off in zip(*(x.tolist() for x in _candidates(term, key, anchors, lengths))):
-                    if (n, k) in found:
-                        continue
-                    if n != held:  # the words of one document, as far as the items have them
-                        own = slice(start[n], start[n + 1])
-                        text = np.full(pos[own][-1] + 1, -1, dtype=np.int64)
-                        text[pos[own]] = term[own]
-                        held = n
-                    if holds(arrays[k], text, off):
+                n, k, off = _candidates(term, key, anchors, lengths)
+                some = np.flatnonzero(_screened(flat, begin[n], end[n], off, k, every, first, lengths)) if len(n) else n
+                for n, k, off in zip(*(x[some].tolist() for x in (n, k, off))):
+                    if (n, k) not in found and holds(arrays[k], flat[begin[n] : end[n]], off):
                         found.add((n, k))
                 yield pd.DataFrame([(named[n], ids[k]) for n, k in sorted(found)], columns=["doc", "item"])
 
