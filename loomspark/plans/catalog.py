@@ -53,6 +53,20 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_totals(table(spark, sf_dir, "lshp_points")).withColumn("total_weight", F.round("total_weight", 6))
 
 
+def p7_above_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each key the points whose weight is above its mean: the points are split over shards, the means replicated to these."""
+    from loomspark.operators.skew import bucket_totals, fragment_replicate_join
+
+    points = table(spark, sf_dir, "lshp_points")
+    means = bucket_totals(points).where("weighted > 0").select("bucket_key", (F.col("total_weight") / F.col("weighted")).alias("mean"))
+    key = F.regexp_replace("bucket_key", r"[\s\x{00a0}]+", "").alias("bucket_key")
+    rows = points.select(key, "point_id", F.col("weight").cast("double").alias("w")).where("bucket_key IS NOT NULL AND point_id IS NOT NULL AND w > 0 AND NOT isnan(w)")
+    joined = fragment_replicate_join(rows, means, "bucket_key", ["point_id"])
+    # a point's rows are in one shard, and few, so the last count has one row for each point and key to merge at most
+    above = joined.groupBy("bucket_key", "point_id").agg(F.max(F.col("w") - F.col("mean")).alias("over")).where("over > 1e-9")
+    return above.groupBy("bucket_key").agg(F.count("*").alias("above"))
+
+
 # nearest neighbours
 
 
@@ -420,7 +434,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
     | {
         f.__name__: f
         for f in (
-            p6_found, p6_tree, p6_paths, p6_descendants, p7_found, p7_totals, sim_matrix, degree_norm, cluster_levels, cluster_history, cluster_squares, cluster_indices, lsh_buckets, lsh_bucket_sizes,
+            p6_found, p6_tree, p6_paths, p6_descendants, p7_found, p7_totals, p7_above_mean, sim_matrix, degree_norm, cluster_levels, cluster_history, cluster_squares, cluster_indices, lsh_buckets, lsh_bucket_sizes,
             lsh_weights, lsh_sample, lsh_crosstab, graph_degrees, graph_triplets, graph_filters, graph_messages, graph_motif, graph_components, graph_scc,
             graph_labels, graph_pagerank, graph_ppr, graph_pregel, graph_paths, graph_bfs, graph_triangles, graph_svd, graph_beliefs, batches, stratified_sample,
         )
@@ -445,6 +459,11 @@ SQL: dict[str, str] = (
                               max(CASE WHEN weight > 0 AND NOT isnan(weight) THEN weight END) AS w
                        FROM lshp_points WHERE bucket_key IS NOT NULL AND point_id IS NOT NULL GROUP BY ALL)
             SELECT bucket_key, count(*) AS bucket_size, round(sum(w), 6) AS total_weight, count(w) AS weighted FROM c GROUP BY bucket_key""",
+        "p7_above_mean": """
+            WITH c AS (SELECT regexp_replace(bucket_key, '\\s+', '', 'g') AS bucket_key, point_id, max(weight::DOUBLE) AS w FROM lshp_points
+                       WHERE bucket_key IS NOT NULL AND point_id IS NOT NULL AND weight > 0 AND NOT isnan(weight) GROUP BY ALL),
+            m AS (SELECT bucket_key, sum(w) / count(*) AS mean FROM c GROUP BY bucket_key)
+            SELECT bucket_key, count(*) AS above FROM c JOIN m USING (bucket_key) WHERE w - mean > 1e-9 GROUP BY bucket_key""",
         "sim_matrix": f'WITH {_PAIRS} SELECT "vec_id_A", "vec_id_B", round(distance, 6) AS distance FROM k',
         "degree_norm": f"""WITH {_PAIRS},
             n AS (SELECT x, 1 / sqrt(sum(distance)) AS d FROM (SELECT "vec_id_A" AS x, distance FROM k UNION ALL SELECT "vec_id_B", distance FROM k) GROUP BY x)
