@@ -53,6 +53,8 @@ _META = regex.compile(r"template|placeholder|variable|mail.?merge|syntax|vorlage
 _MIRROR = str.maketrans("[({<", "])}>")
 _SEPARATORS = regex.compile(r"[\s_.\-]+")
 _UNIT = regex.compile(r"(?<=[.!?…])[\s\"']+|\s*\n+\s*|\s+\.\.\.\s+|\s+[-–|]\s+(?=\S)")
+#: What a short unit is judged without.
+_ENDS = " \t\n.!?…\"'*,;:-"
 _UNSEEN = regex.compile(r"\p{Cf}+")
 _DIGITS = regex.compile(r"\d+")
 _SPACE = regex.compile(r"\s+")
@@ -167,15 +169,21 @@ class Models:
                 kinds.add("field")
             else:
                 unsure.append((name, b - a))
-        start = 0
+        units, start = [], 0
         for m in [*_UNIT.finditer(text), None] if full else []:
             end = m.start() if m else len(text)
             unit = text[start:end]
+            if len(unit) < 2 * SHORT:
+                start += len(unit) - len(unit.lstrip(_ENDS))
+                unit = unit.strip(_ENDS)
             if unit.strip():
-                for a, b, kind in self._windows(unit):
-                    covered[start + a : start + b] = True
-                    kinds.add("filler" if kind == "latin" else kind)
+                units.append((start, unit))
             start = m.end() if m else end
+        some = self.screened([u for _, u in units]) if units else []
+        for start, unit in (u for u, able in zip(units, some) if able):
+            for a, b, kind in self._windows(unit):
+                covered[start + a : start + b] = True
+                kinds.add("filler" if kind == "latin" else kind)
         return int(covered.sum()), kinds, unsure
 
     def prose(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +212,6 @@ class Models:
         return at[keep], (_hashes(codes, BACK)[: len(at)][keep] & np.uint64(PLACES - 1)).astype(np.int64)
 
     def _windows(self, unit: str) -> Iterator[tuple[int, int, str]]:
-        if len(unit) < 2 * SHORT:
-            unit = unit.strip(" \t\n.!?…\"'*,;:-")
         worth = self._worth(_codes(unit))
         n = worth.shape[1]
         if not n:
