@@ -122,7 +122,8 @@ def _candidates(term: np.ndarray, key: np.ndarray, anchors: Anchors, lengths: np
         return (np.zeros(0, dtype=np.int64),) * 3
     # first by offset alone, which leaves few
     pair, off = (hit >> 32) * len(lengths) + item, (hit & 0xFFFFFFFF) - place
-    order = np.lexsort((off, pair))
+    # one number for both where they fit, which sorts faster
+    order = np.argsort((pair << 32) | (off + (1 << 30))) if pair.max() < 1 << 31 and off.max() < 1 << 30 else np.lexsort((off, pair))
     pair, off, first = pair[order], off[order], item[order]
     last = np.arange(len(pair)) + np.minimum(AGREE, np.maximum(1, lengths[first] - 1)) - 1
     end = np.minimum(last, len(pair) - 1)
