@@ -6,6 +6,7 @@ from loomspark.graph import GraphFrame, Pregel
 from loomspark.graph.examples import belief_propagation, friends, grid_ising_model
 
 
+# The small graphs of these tests and what comes out of them.
 @pytest.fixture(scope="module")
 def g(spark):
     v = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id long, name string")
