@@ -1,4 +1,4 @@
-"""Seed texts of the residue models: public standard messages, and phrases made from words by rule. None is taken from a corpus."""
+"""Seed texts of the residue models: public standard messages, and phrases made from words by rule."""
 
 from __future__ import annotations
 
