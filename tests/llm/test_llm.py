@@ -1,11 +1,12 @@
 import os
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm.clusters import Verifier, band_keys, describe_clusters, least_jaccard, similarity_clusters
+from loomspark.llm.clusters import Leaves, Verifier, band_keys, describe_clusters, least_jaccard, similarity_clusters
 from loomspark.llm.leakage import Anchors, _candidates, holds, leaked_items
 from loomspark.llm.links import consolidate
 from loomspark.llm.packing import DEFAULT_TOKENIZER, best_fit, complete, dominates, least_containers, pack_documents
@@ -143,6 +144,53 @@ def test_loose_chain_is_split(spark):
     assert len(got) == 9 and max(sizes.values()) <= 3 and sum(sizes.values()) == 9
 
 
+def test_clusters_in_leaves_stars_and_bands(spark):
+    rng = np.random.RandomState(6)
+    ball, wide = rng.randn(200, 8) * 0.05, rng.randn(150, 8) * 0.16 + 40
+    chain = np.arange(-60, 60)[:, None] * np.full(8, 0.1) + np.r_[30, np.zeros(7)]
+    x = np.vstack([blobs(rng, 40, 0.24), ball, np.eye(8) * 0.7, wide, chain, rng.uniform(-9, 9, (60, 8))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "index_train long, features array<double>")
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.25
+    label = np.arange(len(x))
+    for _ in range(150):
+        label = np.array([label[r].min() for r in near])
+    whole = None
+    for leaf, most in ((len(x), len(x)), (40, 100), (20, 21)):  # one leaf; leaves and stars; most records in shuffled bands too
+        got = {(r.index_train, r.cluster_min, r.cluster_size, round(r.to_centre, 9)) for r in similarity_clusters(df, dim=8, radius=0.5, leaf_rows=leaf, most_rows=most, hot_rows=50).collect()}
+        assert sorted(i for i, *_ in got) == list(range(len(x))) and all(label[i] == label[c] for i, c, *_ in got)
+        assert got == (whole := whole or got)
+    tight = {i for i in range(len(x)) if near[np.ix_(label == label[i], label == label[i])].all()}
+    assert len(tight) > 300 and {(i, c) for i, c, *_ in whole if i in tight} == {(i, label[i]) for i in tight}
+
+
+def test_leaves_bring_near_records_together():
+    rng = np.random.RandomState(8)
+    x = np.vstack([rng.randn(3000, 3) * 4, rng.randn(900, 3) * 0.2, rng.randn(900, 3) * 0.05 + 3])
+    ids = np.arange(len(x)) * 7
+    leaves = Leaves(ids, x, 1.0, 100, 300, 0.3)
+    row, unit, home, star, copied = leaves.route(ids, x)
+    assert leaves.units > 10 and leaves.pid and leaves.banded and sorted(row[home]) == list(range(len(x)))
+    assert (copied == (np.bincount(row)[row] > 1)).all() and len(row) < 2 * len(x)
+    units = [set() for _ in x]
+    for r, u, s in zip(row, unit, star):
+        units[r].add((u, s) if u < 0 or s == -1 else (u, "star"))
+    own = {r: leaves.pid[s] for r, s in zip(row, star) if s >= 0}
+    i, j = np.nonzero(np.triu(((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.09, 1))
+    assert len(i) > 1000 and all(units[a] & units[b] or own.get(a, -1) == own.get(b, -2) for a, b in zip(i, j))
+
+
+def test_clusters_write_a_vector_few_times(spark):
+    """12 bands with the vectors took more than all the disk that the table's size allows."""
+    rng = np.random.RandomState(9)
+    x = np.repeat(rng.uniform(-90, 90, (4000, 8)), 5, axis=0) + rng.randn(20_000, 8) * 0.04
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "index_train long, features array<double>")
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    written = lambda: sum(p.stat().st_size for p in Path(root).rglob("*.parquet"))
+    before = written()
+    got = similarity_clusters(df, dim=8, radius=0.5).where("cluster_size = 5")
+    assert got.count() == len(x) and written() - before < 3 * x.nbytes
+
+
 def test_least_jaccard_bounds_the_similarity():
     rng = np.random.RandomState(5)
     for _ in range(50):
