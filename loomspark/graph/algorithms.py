@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.graph.triangles import triangles_of
 from loomspark.session import Workspace, shared_dir
 
 
@@ -159,19 +160,9 @@ def shortest_paths(g, landmarks: list) -> DataFrame:
 
 
 def triangle_count(g) -> DataFrame:
-    """Vertices with ``count``, the triangles they are in; direction, repeated edges and loops don't matter.
-
-    Edges run from the end of lower degree to the other one, so no vertex, however many edges it has, is the middle of many pairs.
-    """
-    e = g.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    d = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    with_degree = e.join(d.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(d.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    up = F.struct("na", "a") < F.struct("nb", "b")
-    out = with_degree.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
-    pairs = out.join(out.withColumnRenamed("y", "z"), "x").where("y < z")
-    closed = pairs.join(e.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_semi")
-    counts = closed.select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count("*").alias("count"))
-    return g.vertices.join(counts, "id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    """Vertices with ``count``, the triangles they are in; direction, repeated edges and loops don't matter."""
+    e = g.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return g.vertices.join(triangles_of(e), "id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def svd_plus_plus(g, rank: int, max_iter: int, low: float, high: float, gamma1: float, gamma2: float, gamma6: float, gamma7: float) -> tuple[DataFrame, float]:

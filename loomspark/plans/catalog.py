@@ -296,11 +296,11 @@ def _domestic(spark: SparkSession, sf_dir: str):
 
 
 def _baskets(spark: SparkSession, sf_dir: str):
-    """Parts that stand in one order: an order has a few line items, so it has a few pairs."""
+    """Parts that stand in one order, once for each order: an order has a few line items, so it has a few pairs."""
     from loomspark.graph import GraphFrame
 
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    pairs = lines.join(lines.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
+    pairs = lines.join(lines.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst")
     return GraphFrame(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), pairs)
 
 
